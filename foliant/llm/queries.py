@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("oversize_split", "leakage", "source_mix")
+MODULES = ("oversize_split", "leakage", "source_mix", "sentences")
 
 
 def queries() -> dict:
