@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("oversize_split", "leakage", "source_mix", "sentences")
+MODULES = ("oversize_split", "leakage", "source_mix", "sentences", "near_duplicates")
 
 
 def queries() -> dict:
