@@ -1,19 +1,20 @@
 """Near-duplicate records with small edits, by pigeonring filtering.
 
-A text's set of `q` code point substrings has a signature of 128 positions (minima of hashed substrings over bins, two
-hash functions of 64 bins) and a sketch of one bit a position. Two texts whose sets have similarity s (intersection
-over union) agree at a position with probability s, so their sketches differ in about 64 (1 - s) of 128 bits. The
-positions form a ring of 32 segments of four.
+A text's set of `q` code point substrings has a signature of 96 positions (minima of hashed substrings over bins, two
+hash functions of 48 bins) and a sketch of one bit a position. Two texts whose sets have similarity s (intersection
+over union) agree at a position with probability s, so their sketches differ in about 48 (1 - s) of 96 bits. The
+positions form a ring of 24 segments of four.
 
 1. Seeds: pairs that agree on all of at least one segment. A pair of similarity 0.6 has such a segment with
-   probability 1 - (1 - 0.6^4)^32 = 0.988, one of 0.7 with 0.9998; the measured recall stands in the README.
-2. Pigeonring: with at most `budget` differing bits over the ring of eight parts of 16 bits, some part must start a
+   probability 1 - (1 - 0.6^4)^24 = 0.964, one of 0.7 with 0.998; the measured recall stands in the README.
+2. Pigeonring: with at most `budget` differing bits over the ring of eight parts of 12 bits, some part must start a
    chain whose first one, two, three parts stay within one, two, three eighths of the budget. Pairs without are pruned.
 3. The full Hamming check of the two sketches.
 4. The exact check of the two sets, which alone decides.
 
-Exact copies collapse first: only one text of each kind is compared, so a third of all rows being one text costs
-nothing, and copies come back as class members. Seeds meet in an equi-join on the segment's hash. A segment that more
+Exact copies collapse: a task passes on the segments of a text once, and the rest meet under the text's digest before
+any pair is built, so a third of all rows being one text costs nothing; copies come back as class members. The segment
+rows are shuffled once, by the segment's hash; counting, collapsing and joining all use that partitioning. A segment that more
 than `HOT` different texts share is split: its hash is joined by block pairs (block of one side, block of the other),
 so its members spread over many tasks while every pair still meets exactly once.
 
@@ -34,8 +35,8 @@ from pyspark.sql import functions as F
 from foliant.sources.tables import staged, table
 
 Q, LEAST, SIMILARITY = 5, 100, 0.6
-POSITIONS, SEGMENT, BINS = 128, 4, 64
-BUDGET = 42  # differing bits of 128; similarity 0.6 expects 25.6 with a deviation of 4.5
+POSITIONS, SEGMENT, BINS = 96, 4, 48
+BUDGET = 32  # differing bits of 96; similarity 0.6 expects 19.2 with a deviation of 3.9
 HOT, BLOCK = 4096, 2048  # a segment hash shared by more texts than HOT is split into blocks of about BLOCK
 
 
@@ -65,7 +66,7 @@ def signatures(texts: list[str], q: int = Q) -> np.ndarray:
         out = np.full((len(texts), POSITIONS), np.iinfo(np.uint32).max, np.uint32)
         for f in range(POSITIONS // BINS):
             h = _mixed(gram + np.uint64((0x9E3779B97F4A7C15 * (f + 1)) % 2**64))
-            slot = doc * POSITIONS + f * BINS + (h & np.uint64(BINS - 1)).astype(np.int64)
+            slot = doc * POSITIONS + f * BINS + (h % np.uint64(BINS)).astype(np.int64)
             np.minimum.at(out.reshape(-1), slot, (h >> np.uint64(32)).astype(np.uint32))
     for f in range(POSITIONS // BINS):  # an empty bin takes the value of the next full one, mixed with the distance
         part = out[:, f * BINS : (f + 1) * BINS]
@@ -81,35 +82,50 @@ def signatures(texts: list[str], q: int = Q) -> np.ndarray:
 
 
 def _sketches(df: DataFrame, q: int) -> DataFrame:
-    """(id, h, low, high, segs): digest of the text, its sketch in two longs, and a hash for each segment."""
+    """(id, h, low, high, segs): digest of the text, and, where a task meets the text first, its sketch in two longs and a hash for each segment."""
     schema = "id string, h binary, low long, high long, segs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[bytes] = set()
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                sig = signatures(part.column(2).to_pylist(), q)
-                bits = np.packbits(((sig >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), axis=1).view(">i8")
-                with np.errstate(over="ignore"):
-                    segs = np.zeros((len(sig), POSITIONS // SEGMENT), np.uint64)
-                    for j in range(SEGMENT):
-                        segs = _mixed(segs * np.uint64(31) + sig[:, j::SEGMENT].astype(np.uint64) + np.uint64(1))
-                    segs = _mixed(segs + np.arange(segs.shape[1], dtype=np.uint64))
-                offsets = pa.array(np.arange(0, segs.size + 1, segs.shape[1], dtype=np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(bits[:, 0].astype(np.int64)), pa.array(bits[:, 1].astype(np.int64)), pa.ListArray.from_arrays(offsets, pa.array(segs.reshape(-1).view(np.int64)))],
-                    ["id", "h", "low", "high", "segs"],
-                )
+                digests = part.column(1).to_pylist()
+                first = np.zeros(len(digests), bool)
+                for i, h in enumerate(digests):
+                    if h not in met:
+                        met.add(h)
+                        first[i] = True
+                new = part.filter(pa.array(first))
+                low = high = np.zeros(0, np.int64)
+                segs = np.zeros((0, POSITIONS // SEGMENT), np.uint64)
+                if new.num_rows:
+                    sig = signatures(new.column(2).to_pylist(), q)
+                    bits = ((sig >> np.uint32(7)) & np.uint32(1)).astype(np.int64) << np.tile(np.arange(BINS), 2)
+                    low, high = bits[:, :BINS].sum(1), bits[:, BINS:].sum(1)
+                    with np.errstate(over="ignore"):
+                        segs = np.zeros((len(sig), POSITIONS // SEGMENT), np.uint64)
+                        for j in range(SEGMENT):
+                            segs = _mixed(segs * np.uint64(31) + sig[:, j::SEGMENT].astype(np.uint64) + np.uint64(1))
+                        segs = _mixed(segs + np.arange(segs.shape[1], dtype=np.uint64))
+                offsets = np.concatenate([[0], np.cumsum(first)]) * segs.shape[1]
+                at = np.maximum(np.cumsum(first) - 1, 0)
+
+                def spread(values: np.ndarray) -> pa.Array:
+                    return pa.array(values[at] if len(values) else np.zeros(len(at), np.int64), mask=~first)
+
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(segs.reshape(-1).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), spread(low), spread(high), lists], ["id", "h", "low", "high", "segs"])
 
     return df.mapInArrow(run, schema)
 
 
 def _differ(a: str, b: str) -> list[Column]:
     """Differing bits of the eight parts of the ring."""
-    out = []
+    out, width = [], BINS // 4
     for word in ("low", "high"):
         x = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}"))
-        out += [F.bit_count(F.shiftrightunsigned(x, 16 * j).bitwiseAND(F.lit(0xFFFF))) for j in range(4)]
+        out += [F.bit_count(F.shiftrightunsigned(x, width * j).bitwiseAND(F.lit((1 << width) - 1))) for j in range(4)]
     return out
 
 
@@ -125,11 +141,11 @@ def pigeonring(parts: list[Column], budget: int) -> Column:
     return found
 
 
-def _seeds(texts: DataFrame, budget: int) -> DataFrame:
-    """Distinct pairs (a, b) of digests that share a segment and pass the ring and the full Hamming check."""
-    rows = texts.select("h", "low", "high", F.explode("segs").alias("seg"))
-    counts = rows.groupBy("seg").count()
-    hot = counts.filter(F.col("count") > HOT).select("seg", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
+def _seeds(sketched: DataFrame, budget: int) -> DataFrame:
+    """Distinct pairs (a, b) of texts, by the 64-bit hash of their digests, that share a segment and pass the ring and the full Hamming check."""
+    rows = sketched.select(F.xxhash64("h").alias("h"), "low", "high", F.explode("segs").alias("seg")).repartition("seg")
+    rows = rows.groupBy("seg", "h").agg(F.first("low").alias("low"), F.first("high").alias("high"))
+    hot = rows.groupBy("seg").count().filter(F.col("count") > HOT).select("seg", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
     calm = rows.join(hot, "seg", "left_anti")
     split = rows.join(hot, "seg").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     # A member of block i stands on the left for pairs (i, j >= i) and on the right for pairs (j <= i, i).
@@ -154,10 +170,9 @@ def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int =
     normal = normal.select("id", F.unhex(F.md5("t")).alias("h"), "t")
     sketched = staged(_sketches(normal, q), "near-duplicates")
     classes = sketched.select("id", "h").distinct()
-    texts = sketched.groupBy("h").agg(F.first("low").alias("low"), F.first("high").alias("high"), F.first("segs").alias("segs"))
-    seeds = staged(_seeds(texts, budget), "near-duplicate-seeds")
-    wanted = seeds.select(F.explode(F.array("a", "b")).alias("h")).distinct()
-    full = normal.join(wanted, "h", "left_semi").groupBy("h").agg(F.first("t").alias("t"))
+    seeds = staged(_seeds(sketched, budget), "near-duplicate-seeds")
+    wanted = seeds.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    full = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
 
     @F.pandas_udf("double")
     def alike(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -169,8 +184,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int =
             out.append(both / (len(m) + len(n) - both))
         return pd.Series(out)
 
-    a, b = full.select(F.col("h").alias("a"), F.col("t").alias("ta")), full.select(F.col("h").alias("b"), F.col("t").alias("tb"))
-    links = seeds.join(a, "a").join(b, "b").select("a", "b", alike("ta", "tb").alias("similarity")).filter(F.col("similarity") >= similarity)
+    a, b = full.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta")), full.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
+    links = seeds.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), alike("ta", "tb").alias("similarity")).filter(F.col("similarity") >= similarity)
     return classes, links
 
 
