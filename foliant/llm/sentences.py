@@ -22,12 +22,11 @@ from foliant.sources.tables import table
 
 # Marks and their placeholders.
 MARKS = ".!?。！？…।"
-MASKS = ""
-DOT, CUT = "", ""
-ANY = "[" + MARKS.replace(".", r"\.").replace("?", r"\?") + "]"
+MASKS = "\uE001\uE002\uE003\uE004\uE005\uE006\uE007\uE008"
+DOT, CUT = "\uE001", "\uE00F"
 
 # Abbreviations that always go on; those that go on before a number; the months after a German ordinal.
-ALWAYS = "dr|mr|mrs|prof|sr|sra|srta|mme|mlle|cf|vs|vgl|bzw|al|approx|aprox|ca|ex|ej|e\\.g|i\\.e|c\\.-à-d|resp|डॉ"
+ALWAYS = "dr|mr|mrs|prof|sr|sra|srta|mme|mlle|cf|vs|vgl|bzw|al|approx|aprox|ca|ex|ej|e.g|i.e|c.-à-d|resp|डॉ"
 NUMBERED = "nos?|nr|núm|figs?|eqs?|éq|secs?|abb|kap|vol|pp?|ch|chap|art|tab|bd"
 MONTHS = "januar|februar|märz|april|mai|juni|juli|august|september|oktober|november|dezember"
 
@@ -36,58 +35,77 @@ UNIT_LINE = r"(?:[-*•–·][ \t]|#{1,6}[ \t])"
 REACH = "{0,400}+"  # the most code points that a quoted passage may go on after one of its marks
 
 
-def _mask_where(text: Column, condition: str, marks: str = MARKS) -> Column:
-    """Masks each of `marks` at which `condition` (what follows the mark) holds."""
-    for mark, mask in zip(MARKS, MASKS):
-        if mark in marks:
-            text = F.regexp_replace(text, "\\" + mark + condition if mark in ".?" else mark + condition, mask)
-    return text
-
-
-def masked(text: Column) -> Column:
-    """The text with every mark that ends no sentence masked; quote prefixes become blanks."""
-    t = F.regexp_replace(text, r"[-]", "�")
-    t = F.regexp_replace(F.regexp_replace(t, r"(?m)^>>[ ]", "   "), r"(?m)^>[ ]", "  ")
-    t = F.regexp_replace(t, r"(?<=[\p{L}\p{N}])\.(?=[\p{L}\p{N}])", DOT)  # decimals, versions, file names, addresses
-    t = F.regexp_replace(t, r"(?<=\S)\?(?=[A-Za-z0-9=&])", "")
-    t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}])(" + ALWAYS.replace("\\.", "") + r")\.", "$1" + DOT)
-    t = F.regexp_replace(t, r"(?i)(?<![\p{L}\p{N}])(" + NUMBERED + r")\.(?=\s*[\d(])", "$1" + DOT)
-    t = F.regexp_replace(t, r"(?<![\p{L}\p{N}\p{M}'’])(?<![\d%]\s{1,4})(\p{L})\.(?=\s)", "$1" + DOT)  # initials; after a number a letter is a unit
-    t = F.regexp_replace(t, r"(?i)(?<=\d)\.(?=\s{1,4}(?:" + MONTHS + r")\b)", DOT)
-    t = F.regexp_replace(t, r"(?<=(?:^|\n[ \t]{0,8}\n)[ \t]{0,8}\d{1,3})\.(?=[ \t])", DOT)  # numbers of headings
-    t = F.regexp_replace(t, r"(?<=\s)\.\.\.(?=\s)", DOT * 3)
-    # Quoted sentences that are followed by the rest of their sentence.
-    t = F.when(F.contains(t, F.lit(',"')), _mask_where(t, rf'(?=[^"]{REACH}(?<=,)")', ".!?।…")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("»")), _mask_where(t, rf"(?=[^«»]{REACH}»\s{{0,2}},)", ".!?…")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("„")), _mask_where(t, rf"(?=[^„“”]{REACH}[“”],)", ".!?…")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("”")), _mask_where(t, rf"(?=[^“”]{REACH}(?:(?<=,)”|”(?=[^。！？“”]{{1,80}}?(?:写|問|问|说|説|答)\s?道?\s?[。，])))", ".!?。！？…")).otherwise(t)
-    t = F.when(F.contains(t, F.lit("」")), _mask_where(t, rf"(?=[^「」]{REACH}」\s?(?:と|って))", "。！？.!?…")).otherwise(t)
-    return _mask_where(t, r'(?=["”’]\s{1,4}(?i:and|or|but|wrote|said|asked)\b)', ".!?")
+def _mask_where(condition: str, marks: str):
+    """A step that masks each of `marks` at which `condition` (what follows the mark) holds."""
+
+    def step(text: Column) -> Column:
+        for mark, mask in zip(MARKS, MASKS):
+            if mark in marks:
+                text = F.regexp_replace(text, ("\\" + mark if mark in ".?" else mark) + condition, mask)
+        return text
+
+    return step
+
+
+def _where(holds: str, step):
+    """`step`, on the texts that contain `holds` only."""
+    return lambda text: F.when(F.contains(text, F.lit(holds)), step(text)).otherwise(text)
+
+
+def _replace(pattern: str, by: str):
+    return lambda text: F.regexp_replace(text, pattern, by)
 
 
-def marked(text: Column) -> Column:
-    """The masked text with a separator after each unit."""
-    t = masked(text)
+def _thai(text: Column) -> Column:
+    lines = F.regexp_replace(text, rf"(?m)^([^\n]*[{THAI}][^\n]*?)(?=[ \t{CUT}]*$)", "$1" + CUT)
+    spaces = F.regexp_replace(lines, rf"(?:(?<=[{THAI}])[ \t]+(?![0-9%A-Za-z\s])|(?<![0-9%A-Za-z\s•*#>–·{CUT}-])[ \t]+(?=[{THAI}]))", CUT + "$0")
+    return F.when(text.rlike(f"[{THAI}]"), spaces).otherwise(text)
+
+
+# Each pattern begins with the mark it is about, and looks back from there: a scan then stops only at marks.
+STEPS = [
+    _replace(r"[\uE001-\uE00F]", "\ufffd"),
+    _where(">", lambda t: F.regexp_replace(F.regexp_replace(t, r"(?m)^>>[ ]", "   "), r"(?m)^>[ ]", "  ")),
+    _replace(r"\.(?=[\p{L}\p{N}])(?<=[\p{L}\p{N}]\.)", DOT),  # decimals, versions, file names, addresses
+    _where("?", _replace(r"\?(?=[A-Za-z0-9=&])(?<=\S\?)", "\uE003")),
+    _replace(rf"\.(?<=(?<![\p{{L}}\p{{N}}])(?i:{ALWAYS})\.)", DOT),
+    _replace(rf"\.(?=\s*[\d(])(?<=(?<![\p{{L}}\p{{N}}])(?i:{NUMBERED})\.)", DOT),
+    _replace(r"\.(?=\s)(?<=(?<![\p{L}\p{N}\p{M}'’])(?<![\d%]\s{1,4})\p{L}\.)", DOT),  # initials; after a number a letter is a unit
+    _replace(rf"\.(?=\s{{1,4}}(?i:{MONTHS})\b)(?<=\d\.)", DOT),
+    _replace(r"\.(?=[ \t])(?<=(?:^|\n[ \t]{0,8}\n)[ \t]{0,8}\d{1,3}\.)", DOT),  # numbers of headings
+    _where("...", _replace(r"\.\.\.(?=\s)(?<=\s\.\.\.)", DOT * 3)),
+    # Quoted sentences that are followed by the rest of their sentence.
+    _where(',"', _mask_where(rf'(?=[^"]{REACH}(?<=,)")', ".!?।…")),
+    _where("»", _mask_where(rf"(?=[^«»]{REACH}»\s{{0,2}},)", ".!?…")),
+    _where("„", _mask_where(rf"(?=[^„“”]{REACH}[“”],)", ".!?…")),
+    _where("”", _mask_where(rf"(?=[^“”]{REACH}(?:(?<=,)”|”(?=[^。！？“”]{{1,80}}?(?:写|問|问|说|説|答)\s?道?\s?[。，])))", ".!?。！？…")),
+    _where("」", _mask_where(rf"(?=[^「」]{REACH}」\s?(?:と|って))", "。！？.!?…")),
+    _where('" ', _mask_where(r'(?="\s{1,4}(?i:and|or|but|wrote|said|asked)\b)', ".!?")),
+]
+CUTS = [
     # Lines that are units, and the ends of paragraphs.
-    t = F.regexp_replace(t, rf"(?m)^([ \t]*{UNIT_LINE}[^\n]*?)(?=[ \t]*$)", "$1" + CUT)
-    t = F.regexp_replace(t, rf"([^\s{CUT}])(?=[ \t]*\n[ \t]*(?:\n|{UNIT_LINE}))", "$1" + CUT)
-    thai = F.regexp_replace(t, rf"(?m)^([^\n]*[{THAI}][^\n]*?)(?=[ \t{CUT}]*$)", "$1" + CUT)
-    thai = F.regexp_replace(thai, rf"(?:(?<=[{THAI}])[ \t]+(?![0-9%A-Za-z\s])|(?<![0-9%A-Za-z\s•*#>–·{CUT}-])[ \t]+(?=[{THAI}]))", CUT + "$0")
-    t = F.when(t.rlike(f"[{THAI}]"), thai).otherwise(t)
+    _replace(rf"(?m)^[ \t]*{UNIT_LINE}[^\n]*?(?=[ \t]*$)", "$0" + CUT),
+    _replace(rf"[ \t]*\n(?=[ \t]*(?:\n|{UNIT_LINE}))", CUT + "$0"),
+    _thai,
     # End marks: wide ones anywhere; others before white space, unless a lower-case word goes on in the paragraph.
-    t = F.regexp_replace(t, r"([。！？]+(?:\s?[”’」』）》】〉]|[\"'»)\]])*)", "$1" + CUT)
-    t = F.regexp_replace(t, r"(।+[\"'”’»)\]]*)(?=\s|$)", "$1" + CUT)
-    return F.regexp_replace(t, rf"([.!?…]+(?:[\"'”’»)\]“*_]|[  ]»)*)(?=[\s{CUT}]|$)(?![ \t]*\n?[ \t]*[*_]*\p{{Ll}}(?!\p{{Lu}}))", "$1" + CUT)
+    _replace(r"[。！？]+(?:\s?[”’」』）》】〉]|[\"'»)\]])*", "$0" + CUT),
+    _where("।", _replace(r"।+[\"'”’»)\]]*(?=\s|$)", "$0" + CUT)),
+    _replace(rf"[.!?…]+(?:[\"'”’»)\]“*_]|[\u00A0\u202F ]»)*(?=[\s{CUT}]|$)(?![ \t]*\n?[ \t]*[*_]*\p{{Ll}}(?!\p{{Lu}}))", "$0" + CUT),
+]
+
+
+def marked(df: DataFrame, name: str) -> DataFrame:
+    """The column `name` masked, and with a separator after each unit; a projection a step, so that no step is worked out twice."""
+    for step in STEPS + CUTS:
+        df = df.withColumn(name, step(F.col(name)))
+    return df
 
 
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """One row a unit: the other columns of `df`, and sent_no, sent_start, sent_end, sentence (offsets in code points)."""
     rest = [c for c in df.columns if c != text]
-    pieces = (
-        df.filter(F.col(text).rlike(r"\S"))
-        .select(*rest, F.monotonically_increasing_id().alias("__row"), F.split(marked(F.col(text)), CUT).alias("__p"))
-        .select(*rest, "__row", F.posexplode("__p").alias("__i", "__s"))
-    )
+    rows = df.filter(F.length(text) > 0).select(*rest, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__t"))
+    pieces = marked(rows, "__t").select(*rest, "__row", F.posexplode(F.split("__t", CUT)).alias("__i", "__s"))
     upto = Window.partitionBy("__row").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = pieces.withColumn("__end", F.sum(F.length("__s")).over(upto)).filter(F.col("__s").rlike(r"\S"))
     bare = F.regexp_replace("__s", r"\s+\z", "")
