@@ -1,22 +1,22 @@
 """Near-duplicate records with small edits, by pigeonring filtering.
 
 A text's set of `q` code point substrings has a signature of 96 positions (minima of hashed substrings over bins, two
-hash functions of 48 bins) and a sketch of one bit a position. Two texts whose sets have similarity s (intersection
-over union) agree at a position with probability s, so their sketches differ in about 48 (1 - s) of 96 bits. The
+hash functions of 48 bins) and a sketch of two bits a position. Two texts whose sets have similarity s (intersection
+over union) agree at a position with probability s, so their sketches differ at about 72 (1 - s) of 96 positions. The
 positions form a ring of 24 segments of four.
 
 1. Seeds: pairs that agree on all of at least one segment. A pair of similarity 0.6 has such a segment with
    probability 1 - (1 - 0.6^4)^24 = 0.964, one of 0.7 with 0.998; the measured recall stands in the README.
-2. Pigeonring: with at most `budget` differing bits over the ring of eight parts of 12 bits, some part must start a
-   chain whose first one, two, three parts stay within one, two, three eighths of the budget. Pairs without are pruned.
+2. Pigeonring: with at most `budget` differing positions over the ring of twelve parts of eight positions, some part
+   must start a chain whose first one, two, three, four parts stay within as many twelfths of the budget.
 3. The full Hamming check of the two sketches.
 4. The exact check of the two sets, which alone decides.
 
-Exact copies collapse: a task passes on the segments of a text once, and the rest meet under the text's digest before
-any pair is built, so a third of all rows being one text costs nothing; copies come back as class members. The segment
-rows are shuffled once, by the segment's hash; counting, collapsing and joining all use that partitioning. A segment that more
-than `HOT` different texts share is split: its hash is joined by block pairs (block of one side, block of the other),
-so its members spread over many tasks while every pair still meets exactly once.
+Exact copies collapse: a task passes on the segments of a text once, and what still repeats meets itself and is
+dropped, so a third of all rows being one text costs nothing; copies come back as class members. The segment rows are
+shuffled and sorted once, by the segment's hash; runs of one hash are paired in array operations. A run of more than
+`HOT` rows is not paired there: its rows go to a join by block pairs (block of one side, block of the other), so its
+members spread over many tasks while every pair still meets exactly once.
 
 Defined results: null texts and texts under `least` code points (after lower-casing and squeezing blanks) have no
 pair; repeated rows count once; ids that are null are dropped.
@@ -36,12 +36,14 @@ from foliant.sources.tables import staged, table
 
 Q, LEAST, SIMILARITY = 5, 100, 0.6
 POSITIONS, SEGMENT, BINS = 96, 4, 48
-BUDGET = 32  # differing bits of 96; similarity 0.6 expects 19.2 with a deviation of 3.9
-HOT, BLOCK = 4096, 2048  # a segment hash shared by more texts than HOT is split into blocks of about BLOCK
+BUDGET = 44  # differing positions of 96; similarity 0.6 expects 28.8 with a deviation of 4.5
+PARTS, CHAIN = 12, 4  # of the ring
+HOT, BLOCK = 4096, 2048  # a segment hash shared by more rows than HOT is split into blocks of about BLOCK
+MOST_SENT = 2_000_000  # most text keys (8 bytes each) that are broadcast; beyond, a shuffled join
 
 
 def normal_text(text: Column) -> Column:
-    return F.btrim(F.regexp_replace(F.lower(text), "[ \t\r\n]+", " "), F.lit(" "))
+    return F.btrim(F.regexp_replace(F.lower(text), "[ \t\r\n]{2,}|[\t\r\n]", " "), F.lit(" "))  # single blanks stay as they are
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -82,8 +84,8 @@ def signatures(texts: list[str], q: int = Q) -> np.ndarray:
 
 
 def _sketches(df: DataFrame, q: int) -> DataFrame:
-    """(id, h, low, high, segs): digest of the text, and, where a task meets the text first, its sketch in two longs and a hash for each segment."""
-    schema = "id string, h binary, low long, high long, segs array<long>"
+    """(id, h, w, segs): digest of the text, and, where a task meets the text first, its sketch in three longs and a hash for each segment."""
+    schema = "id string, h binary, w0 long, w1 long, w2 long, segs array<long>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         met: set[bytes] = set()
@@ -97,12 +99,11 @@ def _sketches(df: DataFrame, q: int) -> DataFrame:
                         met.add(h)
                         first[i] = True
                 new = part.filter(pa.array(first))
-                low = high = np.zeros(0, np.int64)
+                words = np.zeros((0, 3), np.int64)
                 segs = np.zeros((0, POSITIONS // SEGMENT), np.uint64)
                 if new.num_rows:
                     sig = signatures(new.column(2).to_pylist(), q)
-                    bits = ((sig >> np.uint32(7)) & np.uint32(1)).astype(np.int64) << np.tile(np.arange(BINS), 2)
-                    low, high = bits[:, :BINS].sum(1), bits[:, BINS:].sum(1)
+                    words = sketch(sig)
                     with np.errstate(over="ignore"):
                         segs = np.zeros((len(sig), POSITIONS // SEGMENT), np.uint64)
                         for j in range(SEGMENT):
@@ -110,58 +111,114 @@ def _sketches(df: DataFrame, q: int) -> DataFrame:
                         segs = _mixed(segs + np.arange(segs.shape[1], dtype=np.uint64))
                 offsets = np.concatenate([[0], np.cumsum(first)]) * segs.shape[1]
                 at = np.maximum(np.cumsum(first) - 1, 0)
-
-                def spread(values: np.ndarray) -> pa.Array:
-                    return pa.array(values[at] if len(values) else np.zeros(len(at), np.int64), mask=~first)
-
+                spread = [pa.array(words[at, i] if len(words) else np.zeros(len(at), np.int64), mask=~first) for i in range(3)]
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(segs.reshape(-1).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), spread(low), spread(high), lists], ["id", "h", "low", "high", "segs"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *spread, lists], ["id", "h", "w0", "w1", "w2", "segs"])
 
     return df.mapInArrow(run, schema)
 
 
-def _differ(a: str, b: str) -> list[Column]:
-    """Differing bits of the eight parts of the ring."""
-    out, width = [], BINS // 4
-    for word in ("low", "high"):
-        x = F.col(f"{a}.{word}").bitwiseXOR(F.col(f"{b}.{word}"))
-        out += [F.bit_count(F.shiftrightunsigned(x, width * j).bitwiseAND(F.lit((1 << width) - 1))) for j in range(4)]
+def sketch(sig: np.ndarray) -> np.ndarray:
+    """Two bits a position: both bits of 64 positions in a long each, those of the other 32 in the halves of a third."""
+    one, two = ((sig >> np.uint32(7)) & np.uint32(1)).astype(np.uint8), ((sig >> np.uint32(19)) & np.uint32(1)).astype(np.uint8)
+    pack = lambda bits: np.packbits(bits, axis=1, bitorder="little")
+    raw = np.concatenate([pack(one[:, :64]), pack(two[:, :64]), pack(one[:, 64:]), pack(two[:, 64:])], 1)
+    return np.ascontiguousarray(raw).view("<i8")
+
+
+def near(x: np.ndarray, y: np.ndarray, budget: int) -> np.ndarray:
+    """Which rows of two arrays of sketches pass the ring and the full check."""
+    d = x ^ y
+    one, two = d[:, 0] | d[:, 1], d[:, 2] | (d[:, 2] >> 32)
+    parts = np.concatenate([np.ascontiguousarray(one).view(np.uint8).reshape(-1, 8), np.ascontiguousarray(two).view(np.uint8).reshape(-1, 8)[:, :4]], 1)
+    differ = np.bitwise_count(parts).astype(np.int16)
+    chain, viable = np.zeros_like(differ), np.ones(differ.shape, bool)
+    for length in range(1, CHAIN + 1):
+        chain = chain + np.roll(differ, 1 - length, axis=1)
+        viable &= chain <= budget * length // PARTS
+    out = viable.any(1)
+    out[out] = differ[out].sum(1) <= budget
     return out
 
 
-def pigeonring(parts: list[Column], budget: int) -> Column:
-    """Some part starts a chain whose first lengths stay within their share of the budget."""
-    n, found = len(parts), F.lit(False)
-    for s in range(n):
-        chain, ok = F.lit(0), F.lit(True)
-        for length in (1, 2, 3):
-            chain = chain + parts[(s + length - 1) % n]
-            ok = ok & (chain <= budget * length // n)
-        found = found | ok
-    return found
+def _paired(rows: DataFrame, budget: int) -> DataFrame:
+    """Pairs (a, b) of the rows of one segment hash; the rows of hot ones as they are, with their hash."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest, hot = np.zeros((0, 5), np.int64), None
+
+        def given(a: np.ndarray, b: np.ndarray, seg: np.ndarray, words: np.ndarray) -> pa.RecordBatch:
+            is_hot = len(seg) > 0
+            cols = [pa.array(a), pa.array(a if is_hot else b)] + [pa.array(c) if is_hot else pa.nulls(len(a), pa.int64()) for c in (seg, *words.T)]
+            return pa.RecordBatch.from_arrays(cols, ["a", "b", "seg", "w0", "w1", "w2"])
+
+        def pairs_of(x: np.ndarray) -> Iterator[pa.RecordBatch]:
+            start = np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]]))
+            size = np.diff(np.concatenate([start, [len(x)]]))
+            big = np.repeat(size > HOT, size)
+            if big.any():
+                yield given(x[big, 1], x[big, 1], x[big, 0], x[big, 2:])
+            several = np.repeat(size > 1, size) & ~big
+            x = x[several]
+            step = 1
+            while step < len(x):
+                at = np.flatnonzero(x[step:, 0] == x[:-step, 0])
+                if not len(at):
+                    break
+                at = at[x[at, 1] != x[at + step, 1]]
+                at = at[near(x[at, 2:], x[at + step, 2:], budget)]
+                if len(at):
+                    yield given(np.minimum(x[at, 1], x[at + step, 1]), np.maximum(x[at, 1], x[at + step, 1]), x[:0, 0], x[:0, 2:])
+                step += 1
 
-def _seeds(sketched: DataFrame, budget: int) -> DataFrame:
-    """Distinct pairs (a, b) of texts, by the 64-bit hash of their digests, that share a segment and pass the ring and the full Hamming check."""
-    rows = sketched.select(F.xxhash64("h").alias("h"), "low", "high", F.explode("segs").alias("seg")).repartition("seg")
-    rows = rows.groupBy("seg", "h").agg(F.first("low").alias("low"), F.first("high").alias("high"))
-    hot = rows.groupBy("seg").count().filter(F.col("count") > HOT).select("seg", F.ceil(F.col("count") / BLOCK).cast("int").alias("blocks"))
-    calm = rows.join(hot, "seg", "left_anti")
-    split = rows.join(hot, "seg").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], 1)
+            if hot is not None:
+                more = int(np.searchsorted(x[:, 0] != hot, True))
+                if more:
+                    yield given(x[:more, 1], x[:more, 1], x[:more, 0], x[:more, 2:])
+                x = x[more:]
+                hot = hot if not len(x) else None
+            x = np.concatenate([rest, x])
+            if not len(x):
+                continue
+            last = int(np.flatnonzero(np.concatenate([[True], x[1:, 0] != x[:-1, 0]]))[-1])
+            if last:
+                yield from pairs_of(x[:last])
+            rest = x[last:]
+            if len(rest) > HOT:
+                hot = rest[0, 0]
+                yield given(rest[:, 1], rest[:, 1], rest[:, 0], rest[:, 2:])
+                rest = rest[:0]
+        if len(rest):
+            yield from pairs_of(rest)
+
+    return rows.mapInArrow(run, "a long, b long, seg long, w0 long, w1 long, w2 long")
+
+
+def _hot_pairs(hot: DataFrame, budget: int) -> DataFrame:
+    """Pairs of the members of hot segments, by block pairs."""
+    hot = hot.select(F.col("a").alias("h"), "seg", "w0", "w1", "w2").dropDuplicates(["seg", "h"])
+    blocks = hot.groupBy("seg").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    split = hot.join(blocks, "seg").withColumn("block", F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"))
     # A member of block i stands on the left for pairs (i, j >= i) and on the right for pairs (j <= i, i).
-    left = split.select("h", "low", "high", "seg", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
-    right = split.select("h", "low", "high", "seg", F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    words = ["w0", "w1", "w2"]
+    left = split.select("h", "seg", F.array(*words).alias("w"), F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = split.select(F.col("h").alias("g"), "seg", F.array(*words).alias("v"), F.explode(F.sequence(F.lit(0), "block")).alias("i"), F.col("block").alias("j"))
+    met = left.join(right, ["seg", "i", "j"]).filter(((F.col("i") != F.col("j")) & (F.col("h") != F.col("g"))) | (F.col("h") < F.col("g")))
+
+    @F.pandas_udf("boolean")
+    def close(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series(near(np.stack(x.values).astype(np.int64), np.stack(y.values).astype(np.int64), budget) if len(x) else np.zeros(0, bool))
 
-    def near(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
-        parts = _differ("a", "b")
-        whole = F.bit_count(F.col("a.low").bitwiseXOR(F.col("b.low"))) + F.bit_count(F.col("a.high").bitwiseXOR(F.col("b.high")))
-        met = a.alias("a").join(b.alias("b"), on)
-        return met.filter(pigeonring(parts, budget)).filter(whole <= budget).select(F.least("a.h", "b.h").alias("a"), F.greatest("a.h", "b.h").alias("b"))
+    return met.filter(close("w", "v")).select(F.least("h", "g").alias("a"), F.greatest("h", "g").alias("b"))
 
-    one = near(calm, calm, (F.col("a.seg") == F.col("b.seg")) & (F.col("a.h") < F.col("b.h")))
-    same = ((F.col("a.i") != F.col("a.j")) & (F.col("a.h") != F.col("b.h"))) | (F.col("a.h") < F.col("b.h"))
-    two = near(left, right, (F.col("a.seg") == F.col("b.seg")) & (F.col("a.i") == F.col("b.i")) & (F.col("a.j") == F.col("b.j")) & same)
-    return one.unionByName(two).distinct()
+
+def _seeds(sketched: DataFrame, budget: int) -> DataFrame:
+    """Distinct pairs (a, b) of texts, by the 64-bit hash of their digests, that share a segment and pass the checks."""
+    rows = sketched.select(F.explode("segs").alias("seg"), F.xxhash64("h").alias("h"), "w0", "w1", "w2")
+    paired = staged(_paired(rows.repartition("seg").sortWithinPartitions("seg"), budget), "near-duplicate-pairs")
+    return paired.filter("seg IS NULL").select("a", "b").unionByName(_hot_pairs(paired.filter("seg IS NOT NULL"), budget)).distinct()
 
 
 def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int = LEAST, similarity: float = SIMILARITY, budget: int = BUDGET) -> tuple[DataFrame, DataFrame]:
@@ -172,6 +229,8 @@ def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int =
     classes = sketched.select("id", "h").distinct()
     seeds = staged(_seeds(sketched, budget), "near-duplicate-seeds")
     wanted = seeds.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+    if seeds.count() <= MOST_SENT // 2:
+        wanted = F.broadcast(wanted)
     full = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
 
     @F.pandas_udf("double")
