@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("oversize_split", "leakage", "source_mix", "sentences", "near_duplicates", "vector_neighbors", "entity_match")
+MODULES = ("oversize_split", "leakage", "source_mix", "sentences", "near_duplicates", "vector_neighbors", "entity_match", "page_repair")
 
 
 def queries() -> dict:
