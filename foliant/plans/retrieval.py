@@ -60,7 +60,7 @@ def path_boost(spark: SparkSession, d: str) -> DataFrame:
     found = bm25(documents_of(_chunks(spark, d), "row_id", ["content", "rel", "heading"]), _asked(spark, d, False), 50)
     x = found.join(_chunks(spark, d).select("row_id", "rel"), "row_id").join(_asked(spark, d, False), "query_id")
     x = x.withColumn("boosted", boosted(F.col("score"), F.col("rel"), first_word(F.col("query"))))
-    return top(x.select("query_id", "row_id", F.round("boosted", 4).alias("boosted")), K, "boosted")
+    return top(x.select("query_id", "row_id", F.round("boosted", 2).alias("boosted")), K, "boosted")
 
 
 def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
@@ -276,7 +276,7 @@ SQL = {
     "bm25_prefilter": f"""WITH {_CHUNKS}, {_LATIN}, {_DOCS}, ok AS (SELECT c.id FROM {current_sql("chunks", "id", "file_path")} c JOIN {current_sql("files", "path", "file_format", "indexed")} f
   ON c.file_path = f.path WHERE f.file_format = 'markdown' AND year(f.indexed) = 2024), {_bm25_sql(K, allowed="WHERE o.row_id IN (SELECT id FROM ok)")} SELECT query_id, row_id, score, rank FROM ranked""",
     "path_boost": f"""WITH {_CHUNKS}, {_LATIN}, {_DOCS}, {_bm25_sql(50)},
-x AS (SELECT r.query_id, r.row_id, round(CASE WHEN len(list_filter(regexp_extract_all(lower(ch.rel), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: starts_with(w, list_filter(regexp_extract_all(lower(q.query), '[\\p{{L}}\\p{{Nd}}]+'), lambda v: length(v) > 1)[1]))) > 0 THEN r.score * 1.5 ELSE r.score END, 4) AS boosted
+x AS (SELECT r.query_id, r.row_id, round(CASE WHEN len(list_filter(regexp_extract_all(lower(ch.rel), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: starts_with(w, list_filter(regexp_extract_all(lower(q.query), '[\\p{{L}}\\p{{Nd}}]+'), lambda v: length(v) > 1)[1]))) > 0 THEN r.score * 1.5 ELSE r.score END, 2) AS boosted
   FROM ranked r JOIN ch USING (row_id) JOIN asked q USING (query_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY boosted DESC, row_id) AS rank FROM x) WHERE rank <= {K}""",
     "tokenize_stats": f"""SELECT file_format, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS tokens, round(avg(n), 6) AS avg_tokens, max(n) AS most_tokens
