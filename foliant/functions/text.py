@@ -14,7 +14,7 @@ BLANK = r"[\t\n\f\r ]"
 def token_estimate(text: Column) -> Column:
     """Wide code points count 1 each, the others together a quarter rounded up; at least 1; null for null."""
     wide = F.regexp_count(text, F.lit(f"[{WIDE}]"))
-    return F.greatest(F.lit(1), wide + F.floor((F.length(text) - wide + 3) / 4)).cast("int")
+    return F.when(text.isNotNull(), F.greatest(F.lit(1), wide + F.floor((F.length(text) - wide + 3) / 4))).cast("int")
 
 
 def squeeze(text: Column) -> Column:

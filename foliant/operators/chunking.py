@@ -90,7 +90,13 @@ def units_of(text: str, most: int) -> list[tuple[int, int]]:
         start = end
     out.append((start, len(text)))
     cut = [p for a, b in out for p in hard_cuts(text, a, b, most, spans, at_blank=True)]
-    return [(a, b) for a, b in cut if text[a:b].strip()]
+    kept: list[tuple[int, int]] = []
+    for a, b in cut:  # blank stretches go with the unit before them
+        if text[a:b].strip():
+            kept.append((a, b))
+        elif kept:
+            kept[-1] = kept[-1][0], b
+    return kept
 
 
 def unit_rows(blocks: DataFrame, key: list[str], text: str = "text", most: int = Limits.unit) -> DataFrame:

@@ -27,7 +27,7 @@ def pending(source: DataFrame, index: DataFrame) -> DataFrame:
 def replaced(index: DataFrame, incoming: DataFrame, obsolete: DataFrame) -> DataFrame:
     """The index without rows of incoming or obsolete paths or of an incoming document, and the incoming rows."""
     out = index.join(obsolete.select("path").unionByName(incoming.select("path")).distinct(), "path", "left_anti")
-    return out.join(incoming.select("document_id").distinct(), "document_id", "left_anti").unionByName(incoming)
+    return out.join(incoming.select("document_id").distinct(), "document_id", "left_anti").unionByName(incoming).select(*index.columns)
 
 
 def retained(generations: DataFrame, active: str, keep: int = 2) -> DataFrame:
