@@ -10,7 +10,8 @@ Work is one narrow pass: the JVM drops items within the limit, so only oversized
 batches. No shuffle.
 
 Defined results: null and empty texts have no piece; an item within the limit is one piece, `whole`; repeated rows
-give repeated pieces (the callers drop them); every other column of the input stays.
+give repeated pieces (the callers drop them); the other columns of the input stay, but for those that bear an output's
+name.
 """
 
 from __future__ import annotations
@@ -108,7 +109,7 @@ def split_oversized(df: DataFrame, text: str = "text", limit: int = LIMIT, overl
                 )
             yield pd.Series(rows)
 
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, *[f.name for f in PIECES.elementType.fields])]
     size = token_estimate(F.col(text))
     over = df.filter((F.length(text) > limit) & (size > limit))  # the cheap test first: no text of `limit` code points is over
     cut = over.withColumn("__p", F.explode(pieces(F.col(text)))).select(*rest, "__p.*")

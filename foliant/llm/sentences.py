@@ -10,7 +10,7 @@ carries the pieces by row number, so a hot source, language or copied text is no
 
 Defined results: null, empty and blank texts have no unit; repeated rows give repeated units (the query drops them);
 the code points U+E001 to U+E00F, should a text hold them, count as ordinary characters of their unit and are shown as
-U+FFFD.
+U+FFFD. Columns of the input that bear an output's name are dropped.
 """
 
 from __future__ import annotations
@@ -73,6 +73,7 @@ STEPS = [
     _replace(r"\.(?=\s)(?<=(?<![\p{L}\p{N}\p{M}'’])(?<![\d%]\s{1,4})\p{L}\.)", DOT),  # initials; after a number a letter is a unit
     _replace(rf"\.(?=\s{{1,4}}(?i:{MONTHS})\b)(?<=\d\.)", DOT),
     _replace(r"\.(?=[ \t])(?<=(?:^|\n[ \t]{0,8}\n)[ \t]{0,8}\d{1,3}\.)", DOT),  # numbers of headings
+    lambda t: F.when(t.rlike(rf"(?m)^[ \t]*{UNIT_LINE}[^\n]*[.!?]"), _mask_where(rf"(?<=(?m:^)[ \t]{{0,8}}{UNIT_LINE}[^\n]{{0,300}})(?=[^\n]*\S)", ".!?")(t)).otherwise(t),  # within lines that are units
     _where("...", _replace(r"\.\.\.(?=\s)(?<=\s\.\.\.)", DOT * 3)),
     # Quoted sentences that are followed by the rest of their sentence.
     _where(',"', _mask_where(rf'(?=[^"]{REACH}(?<=,)")', ".!?।…")),
@@ -101,9 +102,12 @@ def marked(df: DataFrame, name: str) -> DataFrame:
     return df
 
 
+OUT = ("sent_no", "sent_start", "sent_end", "sentence")
+
+
 def sentences(df: DataFrame, text: str = "text") -> DataFrame:
     """One row a unit: the other columns of `df`, and sent_no, sent_start, sent_end, sentence (offsets in code points)."""
-    rest = [c for c in df.columns if c != text]
+    rest = [c for c in df.columns if c not in (text, *OUT)]
     rows = df.filter(F.length(text) > 0).select(*rest, F.monotonically_increasing_id().alias("__row"), F.col(text).alias("__t"))
     pieces = marked(rows, "__t").select(*rest, "__row", F.posexplode(F.split("__t", CUT)).alias("__i", "__s"))
     upto = Window.partitionBy("__row").orderBy("__i").rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -64,7 +64,7 @@ def mix_rates(documents: DataFrame, targets: DataFrame) -> DataFrame:
     listed = (
         targets.filter(F.col("source").isNotNull())
         .groupBy(source_key(F.col("source")).alias("key"))
-        .agg(F.max(F.struct(F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "source")).alias("t"))
+        .agg(F.max(F.struct(F.greatest(F.nanvl(F.coalesce(F.col("weight"), F.lit(0.0)), F.lit(0.0)), F.lit(0.0)).alias("weight"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"), "source")).alias("t"))
         .select("key", "t.*")
     )
     sized = listed.join(sizes, "key", "left").withColumn("size", F.coalesce("size", F.lit(0)))
