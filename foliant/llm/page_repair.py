@@ -31,14 +31,15 @@ from pyspark.sql import functions as F
 from foliant.llm.models import Boosted
 from foliant.sources.tables import newest, staged, table
 
-SAMPLE = 8_000  # most rows of a class that a model is fitted on
+SAMPLE, WORDS = 10_000, 3_000  # most rows of a class that a model is fitted on; words that the ranking learns from
+MOST_SENT = 500_000  # most rows of a lookup table that is broadcast; beyond, a salted join
 EDGE = 3  # lines from a page's top or bottom that furniture may stand on
 KNOWN, KNOWN_SHARE = 3, 1e-6  # a word is known from so many occurrences, and from this share of all words
 RARE_SHARE, MISREAD_SHARE = 4e-6, 0.02  # words up to this share of all are looked into; a misreading is at most this frequent against its source
 OVERLAP = 0.7  # share of a word's 3-grams that a candidate must have
 
 # What recognition takes for what (right, wrong).
-CONFUSIONS = (("l", "1"), ("o", "0"), ("s", "5"), ("m", "rn"), ("n", "ri"), ("d", "cl"), ("w", "vv"), ("u", "ii"), ("i", "j"), ("t", "f"), ("e", "c"), ("h", "b"), ("g", "q"), ("a", "ä"))
+CONFUSIONS = (("l", "1"), ("o", "0"), ("s", "5"), ("m", "rn"), ("n", "ri"), ("d", "cl"), ("w", "vv"), ("u", "ii"), ("i", "j"), ("t", "f"), ("e", "c"), ("h", "b"), ("g", "q"), ("a", "ä"), ("rn", "m"))
 SOFT = "¬‐­"  # marks that only cut words; the plain hyphen also joins compounds
 CUT = f"[-{SOFT}]"
 PAGE_NUMBER = r"(?i)^[^\p{L}\p{N}().,]*(?:page|seite|p\.)?\s*[0-9loIS]{1,5}(?:\s*(?:of|von|/)\s*[0-9loIS]{1,5})?[^\p{L}\p{N}().,%?!;:]*$"
@@ -51,7 +52,7 @@ def folded(text: Column) -> Column:
     """Lower case with each confusion's wrong form read as the right one; the same for a word and its misreadings."""
     t = F.regexp_replace(F.regexp_replace(F.lower(text), "ﬁ", "fi"), "ﬂ", "fl")
     t = F.translate(t, "105jfcbqä", "lositehga")
-    for right, wrong in (("m", "rn"), ("n", "ri"), ("d", "el"), ("w", "vv"), ("u", "ii")):  # after c is read as e, cl stands as el
+    for right, wrong in (("u", "ii"), ("m", "rn"), ("n", "ri"), ("d", "el"), ("w", "vv")):  # after c is read as e, cl stands as el
         t = F.regexp_replace(t, wrong, right)
     return t
 
@@ -60,9 +61,15 @@ def skeleton(text: Column) -> Column:
     return F.regexp_replace(folded(F.regexp_replace(text, r"(?<![\p{L}])[0-9lo.,/]*\d[0-9lo.,/]*(?![\p{L}])", " ")), r"[^\p{L}]+", "")
 
 
+def _few(df: DataFrame) -> DataFrame:
+    """Broadcast if its size is small; else as it is."""
+    return F.broadcast(df) if df.count() <= MOST_SENT else df
+
+
 def scanned_lines(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Lines that are not blank of all scanned items: (origin, item_id, doc, page, ord, line_no, line, top, bottom, title)."""
     docs = newest(files.filter(F.col("document_id").isNotNull()).select("document_id", "path", "title", "file_format", "indexed"), ["document_id"], "indexed").filter("file_format = 'paged-text'")
+    docs = _few(staged(docs.select("document_id", "path", skeleton(F.coalesce("title", F.lit(""))).alias("title")), "scanned-documents"))
     b = blocks.filter("text IS NOT NULL").select("block_id", F.col("document_id").alias("doc"), F.col("block_ord").alias("ord"), F.col("page_start").alias("page"), "text")
     b = b.join(docs.select(F.col("document_id").alias("doc"), "title"), "doc").dropDuplicates(["block_id"]).select(F.lit("block").alias("origin"), F.col("block_id").alias("item_id"), "doc", "ord", "page", "text", "title")
     c = chunks.filter("chunk_content IS NOT NULL").select("id", "file_path", F.col("chunk_index").alias("ord"), F.col("page_start").alias("page"), F.col("chunk_content").alias("text"))
@@ -71,27 +78,33 @@ def scanned_lines(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> Dat
     lines = items.select("origin", "item_id", "doc", "ord", "page", "title", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1).filter(F.col("line").rlike(r"\S"))
     page = Window.partitionBy("origin", "doc", "page")
     order = page.orderBy("ord", "item_id", "line_no")
-    return lines.withColumn("top", F.row_number().over(order)).withColumn("bottom", F.count("*").over(page) - F.col("top") + 1)
+    lines = lines.withColumn("top", F.row_number().over(order)).withColumn("bottom", F.count("*").over(page) - F.col("top") + 1)
+    return lines.withColumn("typical", F.max(F.length(F.trim("line"))).over(page)).withColumn("sk", skeleton(F.col("line")))
+
+
+def _looked_up(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of a table of facts: broadcast while it is small, else salted by page, for one running header may be a third of all edge lines."""
+    if facts.count() <= MOST_SENT:
+        return df.join(F.broadcast(facts), keys, "left")
+    salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    return df.withColumn("salt", F.pmod(F.col("line_no"), F.lit(8))).join(salted, [*keys, "salt"], "left").drop("salt")
 
 
 FURNITURE = ["pages", "docs", "within", "number", "is_page", "roman", "top", "bottom", "titled", "long", "ends", "upper", "apart", "lower_start", "share"]
 
 
 def _furniture_features(lines: DataFrame) -> DataFrame:
-    lines = lines.withColumn("sk", skeleton(F.col("line"))).withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE))
-    lines = lines.withColumn("salt", F.pmod(F.col("page"), F.lit(8)))  # one running header may be a third of all edge lines
+    lines = lines.withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE))
     marked = lines.filter(F.length("sk") >= 4)
-    by_doc = marked.filter("edge").groupBy("origin", "doc", "sk").agg(F.approx_count_distinct("page", 0.02).alias("pages"))
+    by_doc = marked.filter("edge").groupBy("origin", "doc", "sk").agg(F.approx_count_distinct("page", 0.02).alias("pages")).filter("pages > 1")
     by_sk = marked.groupBy("sk").agg(F.approx_count_distinct(F.when(F.col("edge"), F.col("doc")), 0.02).alias("docs"), F.approx_count_distinct(F.when(~F.col("edge"), F.col("doc")), 0.02).alias("within"))
     by_sk = by_sk.filter("docs + within > 1")
-    salts = F.explode(F.sequence(F.lit(0), F.lit(7))).alias("salt")
-    x = lines.join(by_doc.filter("pages > 1").select("*", salts), ["origin", "doc", "sk", "salt"], "left").join(by_sk.select("*", salts), ["sk", "salt"], "left")
+    x = _looked_up(lines, staged(by_doc, "repeats-in-document"), ["origin", "doc", "sk"])
+    x = _looked_up(x, staged(by_sk, "repeats"), ["sk"])
     length = F.length(F.trim("line"))
-    typical = F.max(length).over(Window.partitionBy("origin", "doc", "page"))
-    t = skeleton(F.coalesce("title", F.lit("")))
-    size = F.length("sk")
+    t, size = F.col("title"), F.length("sk")  # the title's skeleton
     tail = F.substr("sk", size - 11, F.lit(12))  # a header may begin with an author
-    titled = (size >= 10) & ((F.levenshtein(F.substr(t, F.lit(1), size), F.col("sk")) <= size * 0.2) | ((size >= 14) & F.contains(t, tail)))
+    titled = F.when(F.col("edge") & (size >= 10), (F.levenshtein(F.substr(t, F.lit(1), size), F.col("sk")) <= size * 0.2) | ((size >= 14) & F.contains(t, tail))).otherwise(F.lit(False))
     digits = F.regexp_extract_all(F.translate("line", "loIS", "1015"), F.lit(r"\d+"), F.lit(0))
     letters = F.length(F.regexp_replace("line", r"[^\p{L}]", ""))
     return x.select(
@@ -111,7 +124,7 @@ def _furniture_features(lines: DataFrame) -> DataFrame:
         F.least("top", F.lit(9)).cast("double").alias("top"),
         F.least("bottom", F.lit(9)).cast("double").alias("bottom"),
         titled.cast("double").alias("titled"),
-        (length / F.greatest(typical, F.lit(1))).alias("long"),
+        (length / F.greatest("typical", F.lit(1))).alias("long"),
         F.trim("line").rlike(r"[.,;:!?»”\"-]$").cast("double").alias("ends"),
         F.coalesce(F.length(F.regexp_replace("line", r"[^\p{Lu}]", "")) / F.nullif(letters, F.lit(0)), F.lit(0.0)).alias("upper"),
         F.trim("line").rlike(r"^\d+\s{2,}\p{L}|\p{L}.*\s{2,}\d+$").cast("double").alias("apart"),
@@ -140,10 +153,11 @@ def _fitted(df: DataFrame, names: list[str], label: Column, order: Column) -> Bo
 
 def furniture(lines: DataFrame) -> DataFrame:
     """The lines with the probability `furniture`."""
-    x = staged(_furniture_features(lines), "line-features")
+    x = staged(_furniture_features(staged(lines, "page-lines")), "line-features")
     edge = (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)
     several, spread = F.log1p(F.lit(2.5)), F.log1p(F.lit(3.5))
-    yes = edge & (F.col("ends") == 0) & (((F.col("pages") > several) & (F.col("within") == 0)) | ((F.col("number") == 1) & (F.col("is_page") == 1)) | ((F.col("docs") > spread) & (F.col("within") == 0)))
+    again = (F.col("ends") == 0) & (F.col("within") == 0) & ((F.col("pages") > several) | (F.col("docs") > spread))
+    yes = edge & (again | ((F.col("number") == 1) & (F.col("is_page") == 1)))
     no = ~edge | (edge & (F.col("pages") <= F.log1p(F.lit(1.0))) & (F.col("docs") <= F.log1p(F.lit(1.0))) & (F.col("number") == 0) & (F.col("roman") == 0) & (F.col("titled") == 0) & (F.col("apart") == 0)) | ((F.col("within") > 0) & (F.col("within") >= F.col("docs") - 0.7))
     model = _fitted(x, FURNITURE, F.when(yes, 1.0).when(no, 0.0), F.xxhash64("item_id", "line_no"))
     return _scored(x, FURNITURE, model, "furniture").select("origin", "item_id", "doc", "ord", "page", "line_no", "line", "furniture")
@@ -152,12 +166,12 @@ def furniture(lines: DataFrame) -> DataFrame:
 def lexicon(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """(w, n): words of all texts but scanned ones; `x-` counts x as the first part of a compound."""
     scanned = files.filter("file_format = 'paged-text'")
-    b = blocks.join(scanned.select("document_id").distinct(), "document_id", "left_anti").select(F.col("text").alias("t"))
-    c = chunks.join(scanned.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_anti").select(F.col("chunk_content").alias("t"))
+    b = blocks.join(_few(scanned.select("document_id").distinct()), "document_id", "left_anti").select(F.col("text").alias("t"))
+    c = chunks.join(_few(scanned.select(F.col("path").alias("file_path")).distinct()), "file_path", "left_anti").select(F.col("chunk_content").alias("t"))
     tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[a-z0-9à-öø-ÿœ]+(?:-(?=[a-zà-öø-ÿœ]))?"), F.lit(0))
-    counted = b.unionByName(c).filter("t IS NOT NULL").select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+    counted = staged(b.unionByName(c).filter("t IS NOT NULL").select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.length("w") <= 60), "words")
     part = counted.filter(F.col("w").endswith("-"))
-    return counted.unionByName(part.select(F.expr("substring(w, 1, length(w) - 1)").alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n")).filter(F.length("w") <= 60)
+    return counted.unionByName(part.select(F.expr("substring(w, 1, length(w) - 1)").alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n"))
 
 
 def _counted(df: DataFrame, words: DataFrame, column: str, name: str) -> DataFrame:
@@ -212,22 +226,22 @@ RANK = ["equal", "shared", "edits", "folded_edits", "heard", "own", "longer", "s
 
 def candidates(rare: DataFrame, known: DataFrame) -> DataFrame:
     """rare: (w, own). Known words that share OVERLAP of the folded 3-grams, found through the rarest grams of each rare word only."""
-    k = known.select(F.col("w").alias("c"), F.col("n").alias("heard"), folded(F.col("w")).alias("fc")).withColumn("gc", _grams(F.col("fc")))
-    posting = k.select("c", F.explode("gc").alias("g"))
+    k = known.select(F.col("w").alias("c"), F.col("n").alias("heard"), folded(F.col("w")).alias("fc"))
+    posting = k.select("c", "heard", "fc", F.explode(_grams(F.col("fc"))).alias("g"))
     freq = posting.groupBy("g").agg(F.count("*").alias("df"))
     r = rare.withColumn("fw", folded(F.col("w"))).withColumn("gw", _grams(F.col("fw")))
-    probes = r.select("w", F.size("gw").alias("m"), F.explode("gw").alias("g")).join(freq, "g")
+    probes = r.select("w", "own", "fw", F.size("gw").alias("m"), F.explode("gw").alias("g")).join(F.broadcast(freq), "g")  # at most all 3-grams of letters and digits
     place = F.row_number().over(Window.partitionBy("w").orderBy("df", "g"))
-    probes = probes.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.ceil(F.col("m") * OVERLAP) + 1).select("w", "g")
-    met = probes.join(posting, "g").select("w", "c").distinct()
-    x = met.join(r, "w").join(k, "c").filter(F.col("w") != F.col("c"))
-    shared = F.size(F.array_intersect("gw", "gc"))
-    x = x.withColumn("shared", shared / F.greatest(F.size("gw"), F.size("gc"))).filter(shared >= F.ceil(F.greatest(F.size("gw"), F.size("gc")) * OVERLAP))
+    probes = probes.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.ceil(F.col("m") * OVERLAP) + 1).drop("m", "df", "place")
+    near = (F.abs(F.length("fw") - F.length("fc")) <= 3) & (F.col("w") != F.col("c")) & (F.col("own") <= MISREAD_SHARE * F.col("heard"))
+    met = probes.join(posting, "g").filter(near).filter(F.levenshtein("fw", "fc") <= 3).drop("g").distinct()
+    shared, longer = F.size(F.array_intersect(_grams(F.col("fw")), _grams(F.col("fc")))), F.greatest(F.size(_grams(F.col("fw"))), F.size(_grams(F.col("fc"))))
+    x = met.withColumn("together", shared).withColumn("most", longer).filter(F.col("together") >= F.ceil(F.col("most") * OVERLAP))
     return x.select(
         "w",
         "c",
         (F.col("fw") == F.col("fc")).cast("double").alias("equal"),
-        "shared",
+        (F.col("together") / F.col("most")).alias("shared"),
         F.levenshtein("w", "c").cast("double").alias("edits"),
         F.levenshtein("fw", "fc").cast("double").alias("folded_edits"),
         F.log1p("heard").alias("heard"),
@@ -240,16 +254,20 @@ def candidates(rare: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def _spoilt(words: DataFrame) -> DataFrame:
-    """Words of the library with one confusion each: (w, source)."""
-    pick = F.pmod(F.xxhash64("w", F.lit(9)), F.lit(len(CONFUSIONS))).cast("int")
-    out = F.col("w")
-    chain = None
-    for shift in range(len(CONFUSIONS)):  # the first confusion, from a hashed one on, that the word has room for
-        for i, (right, wrong) in enumerate(CONFUSIONS):
-            hit = (F.pmod(pick + shift, F.lit(len(CONFUSIONS))) == i) & F.contains(F.col("w"), F.lit(right))
-            new = F.regexp_replace(out, rf"^(.*?){right}", rf"$1{wrong}")
-            chain = F.when(hit, new) if chain is None else chain.when(hit, new)
-    return words.select(F.col("w").alias("source"), chain.alias("w")).filter("w IS NOT NULL AND w <> source")
+    """Words of the library with one confusion each, the first from a hashed one on that the word has room for: (source, w)."""
+
+    @F.pandas_udf("string")
+    def spoil(word: pd.Series, pick: pd.Series) -> pd.Series:
+        def one(w: str, k: int) -> str | None:
+            for right, wrong in CONFUSIONS[k:] + CONFUSIONS[:k]:
+                if right in w:
+                    return w.replace(right, wrong, 1)
+            return None
+
+        return pd.Series([one(w, int(k)) for w, k in zip(word, pick)])
+
+    pick = F.pmod(F.xxhash64("w", F.lit(9)), F.lit(len(CONFUSIONS)))
+    return words.select(F.col("w").alias("source"), spoil(F.col("w"), pick).alias("w")).filter("w IS NOT NULL AND w <> source")
 
 
 def corrections(tokens: DataFrame, words: DataFrame) -> DataFrame:
@@ -260,14 +278,14 @@ def corrections(tokens: DataFrame, words: DataFrame) -> DataFrame:
     rare = _counted(tokens.select("w").distinct(), words, "w", "own").filter((F.col("own") < max(KNOWN, RARE_SHARE * total)) & (F.length("w") >= 3) & F.col("w").rlike(r"\p{L}"))
     found = staged(candidates(rare, known), "candidates")
     # Weak labels: spoilt words against their sources; and words that only look alike.
-    drawn = known.filter(F.col("n") >= 2 * KNOWN).orderBy(F.xxhash64("w", F.lit(7))).limit(SAMPLE)
-    bad = _spoilt(drawn.limit(SAMPLE // 2))
+    drawn = known.filter(F.col("n") >= 2 * KNOWN).orderBy(F.xxhash64("w", F.lit(7))).limit(WORDS)
+    bad = _spoilt(drawn)
     spoilt = candidates(bad.select("w").distinct().withColumn("own", F.lit(0)), known).join(bad, "w")
     spoilt = spoilt.withColumn("y", (F.col("c") == F.col("source")).cast("double")).drop("source")
     alike = candidates(drawn.select("w", F.lit(0).alias("own")), known).withColumn("y", F.lit(0.0))
     taught = staged(spoilt.unionByName(alike), "ranking-labels")
     model = _fitted(taught, RANK, F.col("y"), F.xxhash64("w", "c"))
-    scored = _scored(found, RANK, model, "p").filter(F.expm1("own") <= MISREAD_SHARE * F.expm1("heard"))
+    scored = _scored(found, RANK, model, "p")
     return scored.groupBy("w").agg(F.max(F.struct("p", "heard", "c")).alias("best")).select("w", F.col("best.c").alias("c"), F.col("best.p").alias("p")).filter("p >= 0.5")
 
 
@@ -280,16 +298,21 @@ def defects(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> tuple[Dat
     # Tokens of a line, without the halves of cut words; joined words stand for their first line.
     halves = cuts.select("origin", "item_id", "line_no", F.lit(True).alias("head_cut"))
     tails = cuts.filter("next_item IS NOT NULL").select("origin", F.col("next_item").alias("item_id"), F.col("next_no").alias("line_no"), F.lit(True).alias("tail_cut")).distinct()
-    marked = text.join(halves, ["origin", "item_id", "line_no"], "left").join(tails, ["origin", "item_id", "line_no"], "left")
+    key = ["origin", "item_id", "line_no"]
+    marked = _looked_up(_looked_up(text, halves, key), tails, key)
     plain = F.when(F.col("head_cut"), F.regexp_replace("line", rf"{TOKEN}{CUT}\s*$", "")).otherwise(F.col("line"))
     plain = F.when(F.col("tail_cut"), F.regexp_replace(plain, rf"^[^\p{{L}}\p{{N}}]{{0,3}}{TOKEN}", "")).otherwise(plain)
-    plain = F.regexp_replace(F.regexp_replace(F.lower(plain), "ﬁ", "fi"), "ﬂ", "fl")
-    numbers = marked.filter(plain.rlike(SPOILT_NUMBER)).select("origin", "item_id", "line_no", F.regexp_extract(plain, f"({SPOILT_NUMBER})", 1).alias("w"), F.translate(F.regexp_extract(plain, f"({SPOILT_NUMBER})", 1), "lo", "10").alias("c"))
-    tokens = marked.select("origin", "item_id", "line_no", F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit(TOKEN), F.lit(0)))).alias("w"))
+    plain = F.replace(F.replace(F.lower(plain), F.lit("ﬁ"), F.lit("fi")), F.lit("ﬂ"), F.lit("fl"))
+    spoilt = F.when(F.col("plain").rlike(r"[0-9][0-9.,]*[lo]|[lo][lo.,]*[0-9]"), F.regexp_extract_all("plain", F.lit(f"({SPOILT_NUMBER})"), F.lit(1)))
+    words_of = F.array_distinct(F.regexp_extract_all("plain", F.lit(TOKEN), F.lit(0)))
+    read = staged(marked.select(*key, plain.alias("plain")).select(*key, words_of.alias("ws"), spoilt.alias("ns")), "line-words")
+    numbers = read.select(*key, F.explode("ns").alias("w")).withColumn("c", F.translate("w", "lo", "10"))
+    tokens = read.select(*key, F.explode("ws").alias("w"))
     letters = _counted(tokens.filter(F.col("w").rlike("^[lo]{2,4}$")), words, "w", "n").filter(F.col("n") < KNOWN)  # numbers read as letters only
     numbers = numbers.unionByName(letters.select("origin", "item_id", "line_no", "w", F.translate("w", "lo", "10").alias("c")))
     joined = cuts.filter("next_item IS NOT NULL").select("origin", "item_id", "line_no", "next_item", "next_no", "a", F.concat("a", "b").alias("w"))
     better = staged(corrections(tokens.select("w").unionByName(joined.select("w")), words), "corrections").select("w", "c")
+    better = F.broadcast(better) if better.count() <= MOST_SENT else better
     whole = tokens.join(better, "w").select("origin", "item_id", "line_no", "w", "c")
     behind = F.substr("c", F.lit(1), F.length("a")) == F.col("a")  # the first half is right, so the second is not
     split = joined.join(better, "w").select("origin", F.when(behind, F.col("next_item")).otherwise(F.col("item_id")).alias("item_id"), F.when(behind, F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "w", "c")
@@ -307,5 +330,41 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("line_no", F.col("line_no").cast("int"))
 
 
-QUERIES = {"p3_found": p3_found}
+def repaired(lines: DataFrame, cuts: DataFrame, misread: DataFrame) -> DataFrame:
+    """(origin, doc, page, text, goes_on): each page without furniture, words joined and put right, paragraphs parted by
+    a blank line. `goes_on`: the page ends within a sentence, so its last paragraph goes on on the next page."""
+    key = ["origin", "item_id", "line_no"]
+    better = misread.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("w", "c"))).alias("fixes"))  # of one line
+    heads = cuts.filter("next_item IS NOT NULL").select(*key, "b", F.lit(True).alias("head_cut"))
+    tails = cuts.filter("next_item IS NOT NULL").select("origin", F.col("next_item").alias("item_id"), F.col("next_no").alias("line_no"), F.lit(True).alias("tail_cut")).distinct()
+    x = lines.filter("furniture < 0.5")
+    for facts in (better, heads, tails):
+        x = _looked_up(x, facts, key)
+    text = F.rtrim("line")
+    text = F.when(F.col("tail_cut"), F.regexp_replace(text, rf"^[^\p{{L}}\p{{N}}]{{0,3}}{TOKEN}", "")).otherwise(F.ltrim(text))
+    text = F.when(F.col("head_cut"), F.concat(F.regexp_replace(text, rf"{CUT}\s*$", ""), "b")).otherwise(text)
+
+    def put_right(done: Column, fix: Column) -> Column:
+        word = lambda w: F.concat(F.lit(r"(?<![\p{L}\p{N}])"), w, F.lit(r"(?![\p{L}\p{N}])"))
+        lower = F.regexp_replace(done, word(fix["w"]), fix["c"])
+        return F.regexp_replace(lower, word(F.initcap(fix["w"])), F.initcap(fix["c"]))
+
+    none = F.array().cast("array<struct<w:string,c:string>>")
+    x = x.withColumn("text", F.aggregate(F.coalesce("fixes", none), text, put_right))
+    order = Window.partitionBy("origin", "doc", "page").orderBy("ord", "item_id", "line_no")
+    gap = (F.lag("item_id").over(order) == F.col("item_id")) & (F.col("line_no") > F.lag("line_no").over(order) + 1)
+    hyphen = F.lag("line").over(order).rlike(r"\p{L}-\s*$")  # a compound's own
+    part = F.when(F.col("tail_cut") | hyphen, F.lit("")).when(gap, F.lit("\n\n")).when(F.lag("line_no").over(order).isNull(), F.lit("")).otherwise(F.lit(" "))
+    placed = x.withColumn("text", F.concat(part, "text"))
+    rows = F.sort_array(F.collect_list(F.struct("ord", "item_id", "line_no", "text")))  # the lines of one page
+    pages = placed.groupBy("origin", "doc", "page").agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("text"))
+    return pages.withColumn("goes_on", ~F.rtrim("text").rlike(r"[.!?:»”\"]$"))
+
+
+def p3_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repaired text of every scanned page."""
+    return repaired(*defects(*[table(spark, sf_dir, t) for t in ("files", "blocks", "chunks")]))
+
+
+QUERIES = {"p3_found": p3_found, "p3_pages": p3_pages}
 SQL: dict[str, str] = {}
