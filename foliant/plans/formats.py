@@ -77,4 +77,9 @@ SQL = {
     "jats_blocks": _BLOCKS,
     "paged_json_blocks": f"""SELECT document_id, count(*) AS blocks, CAST(sum(length(text)) AS BIGINT) AS chars, min(page_start) AS first_page, max(page_end) AS last_page
 FROM {current_sql("blocks", "block_id", "document_id", "block_ord", "text", "page_start", "page_end")} WHERE trim(text) <> '' AND (page_start IS NULL) = (page_end IS NULL) AND (page_start IS NULL OR (page_start >= 1 AND page_end >= page_start)) GROUP BY document_id""",
+    "content_list_blocks": f"""SELECT document_id, count(*) AS blocks, count_if(coalesce(text = section, false)) AS headings, max(page_start) AS last_page
+FROM {current_sql("blocks", "block_id", "document_id", "block_ord", "text", "section", "page_start")} WHERE trim(text) <> '' GROUP BY document_id""",
+    "format_detection": f"""SELECT file_format, CASE WHEN regexp_matches(lower(path), '\\.(md|markdown)$') THEN 'markdown' WHEN regexp_matches(lower(path), '\\.html?$') THEN 'html' WHEN regexp_matches(lower(path), '\\.docx$') THEN 'docx'
+ WHEN regexp_matches(lower(path), 'content_list(_v2)?\\.json$|\\.mineru\\.json$') THEN 'mineru' WHEN regexp_matches(lower(path), 'scan\\.json$') THEN 'paged-text' WHEN file_format = 'grobid-tei' THEN 'grobid-tei' WHEN file_format = 'jats' THEN 'jats' ELSE 'text' END AS detected, count(*) AS files
+FROM {current_sql("files", "path", "file_format")} GROUP BY ALL""",
 }

@@ -11,6 +11,8 @@ from foliant.operators import evaluation as E
 from foliant.operators import sync as S
 from foliant.operators.literal import containing
 from foliant.operators.lexical import bm25, documents_of
+from foliant.plans.reading import _est
+from foliant.plans.retrieval import _bm25_sql, _tok
 from foliant.plans.views import current, current_sql
 from foliant.sources.tables import newest, table
 
@@ -269,3 +271,23 @@ FROM {current_sql("zotero_items", "item_key", "doi", "date_raw", "item_year")} W
     "eval_percentile": """WITH d AS (SELECT lower(trim(source)) AS source, length(text) AS chars FROM documents WHERE text IS NOT NULL), r AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chars) AS k, count(*) OVER (PARTITION BY source) AS n FROM d)
 SELECT source, max(n) AS n, min(CASE WHEN k >= ceil(0.5 * n) THEN chars END) AS p50, min(CASE WHEN k >= ceil(0.95 * n) THEN chars END) AS p95 FROM r GROUP BY source""",
 }
+
+_STRIP = "translate({0}, ' ' || chr(10) || chr(9) || chr(13), '')"
+_EVAL = f"""WITH labels AS (SELECT DISTINCT case_id AS query_id, CAST(doc_id AS VARCHAR) AS row_id FROM (SELECT case_id, {_STRIP.format("passage")} AS p FROM eval_cases WHERE passage IS NOT NULL) q
+ JOIN (SELECT doc_id, {_STRIP.format("text")} AS t FROM documents WHERE text IS NOT NULL) d ON p <> '' AND contains(t, p)),
+docs AS (SELECT DISTINCT doc_id AS row_id, {_tok("text")} AS toks FROM documents),
+asked AS (SELECT DISTINCT case_id AS query_id, array_to_string(regexp_split_to_array(passage, '\\s+')[1:6], ' ') AS query FROM eval_cases WHERE passage IS NOT NULL),
+{_bm25_sql(30)}, n AS (SELECT query_id, count(DISTINCT row_id) AS labels FROM labels GROUP BY 1)"""
+
+
+def _scored_sql(k: int) -> str:
+    return f"""SELECT n.query_id, n.labels, coalesce(m.found, 0) AS found, round(coalesce(m.found, 0) / n.labels, 6) AS recall, round(coalesce(1.0 / m.best, 0), 6) AS rr
+FROM n LEFT JOIN (SELECT l.query_id, count(DISTINCT l.row_id) AS found, min(r.rank) AS best FROM ranked r JOIN labels l ON l.query_id = r.query_id AND l.row_id = CAST(r.row_id AS VARCHAR) WHERE r.rank <= {k} GROUP BY 1) m ON m.query_id = n.query_id"""
+
+
+SQL |= {
+    "eval_recall_mrr": f"{_EVAL} {_scored_sql(5)}",
+    "eval_modes": f"{_EVAL} " + " UNION ALL ".join(f"SELECT {k} AS k, count(*) AS cases, round(avg(recall), 6) AS recall, round(avg(rr), 6) AS mrr FROM ({_scored_sql(k)})" for k in (1, 5, 30)),
+    "eval_cost": f"""SELECT file_format, calls, tokens, CASE WHEN file_format = 'text' THEN NULL ELSE round(tokens / 1e6 * 0.02, 6) END AS cost FROM (SELECT f.file_format, count(*) AS calls, CAST(sum({_est("c.chunk_content")}) AS BIGINT) AS tokens
+ FROM {current_sql("chunks", "id", "file_path", "chunk_content")} c LEFT JOIN {current_sql("files", "path", "file_format")} f ON c.file_path = f.path GROUP BY 1)""",
+}

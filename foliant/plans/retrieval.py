@@ -269,6 +269,9 @@ b AS (SELECT *, CASE WHEN max(cosine) OVER w = min(cosine) OVER w THEN 1.0 ELSE
 u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, a.score, b.cosine, a.rank AS lr, b.rank AS vr, a.s AS sa, b.s AS sb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.row_id = b.row_id),
 uw AS (SELECT *, max(CASE WHEN vr IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS anyv FROM u)"""
 
+_WIDE = "\\x{{3400}}-\\x{{9FFF}}\\x{{F900}}-\\x{{FAFF}}\\x{{3040}}-\\x{{30FF}}\\x{{AC00}}-\\x{{D7AF}}"
+_ESTIMATE = f"greatest(1, length(regexp_replace({{0}}, '[^{_WIDE}]', '', 'g')) + (length(regexp_replace({{0}}, '[{_WIDE}]', '', 'g')) + 3) // 4)"
+
 SQL = {
     "bm25_topk": f"WITH {_CHUNKS}, {_LATIN}, {_DOCS}, {_bm25_sql(K)} SELECT query_id, row_id, score, rank FROM ranked",
     "bm25_han_topk": f"""WITH {_CHUNKS}, {_HANQ}, docs AS (SELECT row_id, list_concat({_tok('t')}, {_han_terms('t')}) AS toks FROM (SELECT row_id, concat_ws(' ', content, rel, heading) AS t FROM ch)),
@@ -307,4 +310,7 @@ FROM x JOIN {current_sql("chunks", "id", "chunk_content")} c ON x.chunk_id = c.i
 x AS (SELECT r.query_id, r.row_id, list_distinct({_tok('q.query')}) AS ws, {_tok("concat_ws(chr(10) || chr(10), nullif(ch.heading, ''), ch.content)")} AS ts FROM ranked r JOIN ch USING (row_id) JOIN asked q USING (query_id)),
 y AS (SELECT query_id, row_id, round(len(list_intersect(ws, ts)) / greatest(len(ws), 1), 6) AS rerank FROM x)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC, row_id) AS rank FROM y) WHERE rank <= {K}""",
+    "query_usage": f"""WITH {_CHUNKS}, {_LATIN}, {_DOCS}, {_bm25_sql(30)},
+x AS (SELECT r.query_id, CAST(sum({_ESTIMATE.format("concat_ws(chr(10) || chr(10), nullif(ch.heading, ''), ch.content)")}) AS BIGINT) AS rerank_tokens, count(*) AS candidates FROM ranked r JOIN ch USING (row_id) GROUP BY 1)
+SELECT q.query_id, {_ESTIMATE.format("q.query")} AS embedding_tokens, coalesce(x.rerank_tokens, 0) AS rerank_tokens, coalesce(x.candidates, 0) AS candidates FROM asked q LEFT JOIN x ON x.query_id = q.query_id""",
 }
