@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.functions.search import query_terms, tokens
+from foliant.sources.tables import staged
 
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 
@@ -37,15 +38,16 @@ def phrases(queries: DataFrame, terms: Column | None = None) -> DataFrame:
 def bm25(docs: DataFrame, queries: DataFrame, k: int, allowed: DataFrame | None = None, terms: Column | None = None) -> DataFrame:
     """(query_id, row_id, score, rank): the k best rows of each query. `allowed` (row_id, and query_id or not) filters before the cut; statistics stay those of all rows."""
     length = F.size(F.filter("toks", lambda t: t != ""))
-    sizes = docs.select("row_id", length.alias("dl"))
+    docs = staged(docs.select("row_id", "toks", length.alias("dl")), "tokens")  # texts are cut into tokens once, for all that follows
+    sizes = docs.select("row_id", "dl")
     whole = sizes.agg(F.count("*").alias("n_all"), F.avg("dl").alias("avgdl"))  # one row
     asked = phrases(queries, terms)
     wanted = asked.select("token").distinct()
-    posting = docs.select("row_id", length.alias("dl"), F.posexplode("toks").alias("place", "token")).join(wanted, "token", "left_semi")
+    posting = docs.select("row_id", "dl", F.posexplode("toks").alias("place", "token")).join(wanted, "token", "left_semi")
     keep = (lambda df: df) if allowed is None else (lambda df: df.join(allowed, [c for c in ("query_id", "row_id") if c in allowed.columns], "left_semi"))
     by_row = allowed is None or "query_id" not in allowed.columns
     # Terms of one token: frequencies are counted by token once, and meet the queries only then.
-    tf = posting.groupBy("token", "row_id", "dl").agg(F.count("*").alias("tf"))
+    tf = staged(posting.groupBy("token", "row_id", "dl").agg(F.count("*").alias("tf")), "frequencies")
     single = asked.filter("m = 1").groupBy("token", "query_id").agg(F.count("*").alias("times"))
     weighed = single.join(tf.groupBy("token").agg(F.count("*").alias("df")), "token").join(F.broadcast(whole)).select("token", "query_id", (_idf() * F.col("times")).alias("idf"), "avgdl")
     ones = (keep(tf) if by_row else tf).join(weighed, "token").select("query_id", "row_id", (F.col("idf") * _gain()).alias("s"))
