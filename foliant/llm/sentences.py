@@ -32,7 +32,6 @@ MONTHS = "januar|februar|märz|april|mai|juni|juli|august|september|oktober|nove
 
 THAI = r"฀-๿"
 UNIT_LINE = r"(?:[-*•–·][ \t]|#{1,6}[ \t])"
-REACH = "{0,400}+"  # the most code points that a quoted passage may go on after one of its marks
 
 
 def _mask_where(condition: str, marks: str):
@@ -62,6 +61,36 @@ def _thai(text: Column) -> Column:
     return F.when(text.rlike(f"[{THAI}]"), spaces).otherwise(text)
 
 
+def _unit_lines(text: Column) -> Column:
+    """Masks all marks but the last ones within lines that are units, whatever the lines' length."""
+
+    def masked(line: Column) -> Column:
+        end = F.regexp_extract(line, rf"[{MARKS}]?\s*+$", 0)
+        inner = F.substr(line, F.lit(1), F.length(line) - F.length(end))
+        return F.when(line.rlike(rf"^[ \t]*{UNIT_LINE}"), F.concat(F.translate(inner, MARKS, MASKS), end)).otherwise(line)
+
+    return F.array_join(F.transform(F.split(text, r"(?<=[\n\r\u0085\u2028\u2029])", -1), masked), "")
+
+
+def _quoted(quotes: str, marks: str, *ends: tuple[str, str]):
+    """A step that masks `marks` wherever the next of `quotes` ends its piece of text as one of `ends` says: (the piece's end, what the next piece begins with). One pass, whatever the length of a quoted passage."""
+    masks = "".join(MASKS[MARKS.index(m)] for m in marks)
+
+    def step(text: Column) -> Column:
+        pieces = F.split(text, f"(?<=[{quotes}])", -1)
+
+        def masked(piece: Column, i: Column) -> Column:
+            after = F.coalesce(F.get(pieces, i + 1), F.lit(""))
+            goes_on = F.lit(False)
+            for end, begin in ends:
+                goes_on = goes_on | (piece.rlike(end + r"\z") & after.rlike("^" + begin))
+            return F.when(goes_on, F.translate(piece, marks, masks)).otherwise(piece)
+
+        return F.array_join(F.transform(pieces, masked), "")
+
+    return step
+
+
 # Each pattern begins with the mark it is about, and looks back from there: a scan then stops only at marks.
 STEPS = [
     _replace(r"[\uE001-\uE00F]", "\ufffd"),
@@ -73,14 +102,14 @@ STEPS = [
     _replace(r"\.(?=\s)(?<=(?<![\p{L}\p{N}\p{M}'’])(?<![\d%]\s{1,4})\p{L}\.)", DOT),  # initials; after a number a letter is a unit
     _replace(rf"\.(?=\s{{1,4}}(?i:{MONTHS})\b)(?<=\d\.)", DOT),
     _replace(r"\.(?=[ \t])(?<=(?:^|\n[ \t]{0,8}\n)[ \t]{0,8}\d{1,3}\.)", DOT),  # numbers of headings
-    lambda t: F.when(t.rlike(rf"(?m)^[ \t]*{UNIT_LINE}[^\n]*[.!?]"), _mask_where(rf"(?<=(?m:^)[ \t]{{0,8}}{UNIT_LINE}[^\n]{{0,300}})(?=[^\n]*\S)", ".!?")(t)).otherwise(t),  # within lines that are units
+    lambda t: F.when(t.rlike(rf"(?m)^[ \t]*{UNIT_LINE}"), _unit_lines(t)).otherwise(t),
     _where("...", _replace(r"\.\.\.(?=\s)(?<=\s\.\.\.)", DOT * 3)),
     # Quoted sentences that are followed by the rest of their sentence.
-    _where(',"', _mask_where(rf'(?=[^"]{REACH}(?<=,)")', ".!?।…")),
-    _where("»", _mask_where(rf"(?=[^«»]{REACH}»\s{{0,2}},)", ".!?…")),
-    _where("„", _mask_where(rf"(?=[^„“”]{REACH}[“”],)", ".!?…")),
-    _where("”", _mask_where(rf"(?=[^“”]{REACH}(?:(?<=,)”|”(?=[^。！？“”]{{1,80}}?(?:写|問|问|说|説|答)\s?道?\s?[。，])))", ".!?。！？…")),
-    _where("」", _mask_where(rf"(?=[^「」]{REACH}」\s?(?:と|って))", "。！？.!?…")),
+    _where(',"', _quoted('"', ".!?।…", (',"', ""))),
+    _where("»", _quoted("«»", ".!?…", ("»", r"\s{0,2},"))),
+    _where("„", _quoted("„“”", ".!?…", ("[“”]", ","))),
+    _where("”", _quoted("“”", ".!?。！？…", (",”", ""), ("”", r"[^。！？“”]{1,80}?(?:写|問|问|说|説|答)\s?道?\s?[。，]"))),
+    _where("」", _quoted("「」", "。！？.!?…", ("」", r"\s?(?:と|って)"))),
     _where('" ', _mask_where(r'(?="\s{1,4}(?i:and|or|but|wrote|said|asked)\b)', ".!?")),
 ]
 CUTS = [

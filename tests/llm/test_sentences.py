@@ -31,3 +31,15 @@ def test_defined_results(spark):
     got = sentences(spark.createDataFrame(rows, "doc_id long, text string, sentence string")).collect()
     assert {(r["doc_id"], r["sent_end"]) for r in got if r["doc_id"] != 5} == {(4, 6), (4, 11), (6, 6), (6, 12)}
     assert sum(r["doc_id"] == 5 for r in got) == 20_000 and max(r["sent_end"] for r in got if r["doc_id"] == 5) == len(long) - 1
+
+
+def test_long_units_stay_whole(spark):
+    item = "- " + "Some words go on here. " * 40 + "End"
+    cjk = "- 甲是。乙是！丙是？丁\n# अ है। ब है। स"
+    quote = '"' + "Some words go on here. " * 40 + 'It ends," wrote Doe.'
+    german = "„" + "Etwas steht hier. " * 60 + "Ende“, schrieb Y."
+    japanese = "「" + "甲は弱い。" * 200 + "」とXは書いた。"
+    want = {1: [item, "Next."], 2: cjk.split("\n"), 3: [quote, "Then."], 4: [german], 5: [japanese, "丙。"]}
+    texts = [(1, item + "\nNext."), (2, cjk), (3, quote + " Then."), (4, german), (5, japanese + "丙。")]
+    got = sentences(spark.createDataFrame(texts, "doc_id long, text string")).orderBy("doc_id", "sent_no").collect()
+    assert {i: [r["sentence"] for r in got if r["doc_id"] == i] for i in want} == want
