@@ -1,22 +1,24 @@
 """Noise in text from scanned pages: furniture, words cut at line ends, wrongly recognised characters.
 
-Lines are rows. Page furniture is found by a boosted classifier over a line and its counterparts on other pages: where
-it stands on its page, on how many pages of its document and in how many documents the same line (after misreadings,
-digits and blanks are folded away) stands at a page's edge or within one, page numbers, the document's title. Words cut
-at line ends are decided by a boosted classifier of the line pair: how often the joined word, its halves, and a
-compound's first part occur in the rest of the library. Wrong characters are found by spelling: rare words retrieve
-candidates by a join of inverted character 3-grams, of which only the rarest of a word need be probed, and a boosted
-ranking chooses among them.
+Lines are rows. Page furniture is found among the EDGE first and last lines of a page by a boosted classifier over a
+line and its counterparts on other pages: where it stands on its page, on how many pages of its document and in how many
+documents the same line (after misreadings, digits and blanks are folded away) stands at a page's edge or within one,
+page numbers, the document's title. Lines within a page serve as examples of text. Words cut at line ends are decided by
+a boosted classifier of the line pair: the mark, and how often the joined word, its halves, and a compound's first part
+occur in the rest of the library. Wrong characters are found by spelling: rare words retrieve candidates by a join of
+inverted character 3-grams, of which only the rarest of a word need be probed, and a boosted ranking chooses among them.
+Numbers are an open class without a lexicon: in them, letters that stand for digits are put back by rule.
 
 The models learn from weak labels, drawn here: lines that repeat at edges against lines within pages; words of the
 library cut at random against its compounds; words of the library spoilt by the usual confusions against words that
 only look alike. Samples are at most SAMPLE rows a class; all counts cover all texts.
 
 Scale: windows run within one page; what goes over to the next page is joined by page number, so a document of any
-length is no single group. Counts aggregate before they are shuffled. Line texts are written once and read again.
+length is no single group. Counts aggregate before they are shuffled. Line texts are written once and read again; so are
+the distinct words, for Catalyst would else work out the 3-grams of every token before it drops the repeated ones.
 
-Defined results: null and empty texts have no row; pages that are null count as a page for each item; repeated rows
-count once; lines of items that are not paged text are left alone.
+Defined results: null and empty texts have no row; an item whose page is null is a page of its own, in the order of
+items; repeated rows count once; lines of items that are not paged text are left alone.
 """
 
 from __future__ import annotations
@@ -29,10 +31,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliant.llm.models import Boosted
-from foliant.sources.tables import newest, staged, table
+from foliant.sources.tables import newest, small, staged, table
 
 SAMPLE, WORDS = 10_000, 3_000  # most rows of a class that a model is fitted on; words that the ranking learns from
-MOST_SENT = 500_000  # most rows of a lookup table that is broadcast; beyond, a salted join
+MOST_SENT = 16 << 20  # most bytes of a lookup table that is broadcast; beyond, a salted join
 EDGE = 3  # lines from a page's top or bottom that furniture may stand on
 KNOWN, KNOWN_SHARE = 3, 1e-6  # a word is known from so many occurrences, and from this share of all words
 RARE_SHARE, MISREAD_SHARE = 4e-6, 0.02  # words up to this share of all are looked into; a misreading is at most this frequent against its source
@@ -50,20 +52,25 @@ TOKEN = r"[\p{L}\p{N}]+"
 
 def folded(text: Column) -> Column:
     """Lower case with each confusion's wrong form read as the right one; the same for a word and its misreadings."""
-    t = F.regexp_replace(F.regexp_replace(F.lower(text), "ﬁ", "fi"), "ﬂ", "fl")
+    t = _replaced(F.lower(text), (("fi", "ﬁ"), ("fl", "ﬂ")))
     t = F.translate(t, "105jfcbqä", "lositehga")
-    for right, wrong in (("u", "ii"), ("m", "rn"), ("n", "ri"), ("d", "el"), ("w", "vv")):  # after c is read as e, cl stands as el
-        t = F.regexp_replace(t, wrong, right)
-    return t
+    return _replaced(t, (("u", "ii"), ("m", "rn"), ("n", "ri"), ("d", "el"), ("w", "vv")))  # after c is read as e, cl stands as el
+
+
+def _replaced(text: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for right, wrong in pairs:
+        text = F.replace(text, F.lit(wrong), F.lit(right))
+    return text
 
 
 def skeleton(text: Column) -> Column:
-    return F.regexp_replace(folded(F.regexp_replace(text, r"(?<![\p{L}])[0-9lo.,/]*\d[0-9lo.,/]*(?![\p{L}])", " ")), r"[^\p{L}]+", "")
+    numbers = F.regexp_replace(text, r"(?<![\p{L}])[0-9lo.,/]*\d[0-9lo.,/]*(?![\p{L}])", " ")
+    return F.regexp_replace(folded(F.when(text.rlike("[0-9]"), numbers).otherwise(text)), r"[^\p{L}]+", "")
 
 
 def _few(df: DataFrame) -> DataFrame:
     """Broadcast if its size is small; else as it is."""
-    return F.broadcast(df) if df.count() <= MOST_SENT else df
+    return F.broadcast(df) if small(df, MOST_SENT) else df
 
 
 def scanned_lines(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -74,17 +81,19 @@ def scanned_lines(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> Dat
     b = b.join(docs.select(F.col("document_id").alias("doc"), "title"), "doc").dropDuplicates(["block_id"]).select(F.lit("block").alias("origin"), F.col("block_id").alias("item_id"), "doc", "ord", "page", "text", "title")
     c = chunks.filter("chunk_content IS NOT NULL").select("id", "file_path", F.col("chunk_index").alias("ord"), F.col("page_start").alias("page"), F.col("chunk_content").alias("text"))
     c = c.join(docs.select(F.col("path").alias("file_path"), F.col("document_id").alias("doc"), "title"), "file_path").dropDuplicates(["id"]).select(F.lit("chunk").alias("origin"), F.col("id").alias("item_id"), "doc", "ord", "page", "text", "title")
-    items = b.unionByName(c).withColumn("page", F.coalesce("page", -1 - F.coalesce("ord", F.lit(0))))
+    alone = F.coalesce("ord", F.lit(0)).cast("long") - F.lit(1 << 40)  # below all pages, in order
+    items = b.unionByName(c).withColumn("page", F.coalesce(F.col("page").cast("long"), alone))
     lines = items.select("origin", "item_id", "doc", "ord", "page", "title", F.posexplode(F.split("text", "\n")).alias("line_no", "line")).withColumn("line_no", F.col("line_no") + 1).filter(F.col("line").rlike(r"\S"))
     page = Window.partitionBy("origin", "doc", "page")
     order = page.orderBy("ord", "item_id", "line_no")
     lines = lines.withColumn("top", F.row_number().over(order)).withColumn("bottom", F.count("*").over(page) - F.col("top") + 1)
-    return lines.withColumn("typical", F.max(F.length(F.trim("line"))).over(page)).withColumn("sk", skeleton(F.col("line")))
+    lines = lines.withColumn("typical", F.max(F.length(F.trim("line"))).over(page)).withColumn("sk", skeleton(F.col("line")))
+    return lines.withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE))
 
 
 def _looked_up(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
     """Left join of a table of facts: broadcast while it is small, else salted by page, for one running header may be a third of all edge lines."""
-    if facts.count() <= MOST_SENT:
+    if small(facts, MOST_SENT):
         return df.join(F.broadcast(facts), keys, "left")
     salted = facts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     return df.withColumn("salt", F.pmod(F.col("line_no"), F.lit(8))).join(salted, [*keys, "salt"], "left").drop("salt")
@@ -93,14 +102,15 @@ def _looked_up(df: DataFrame, facts: DataFrame, keys: list[str]) -> DataFrame:
 FURNITURE = ["pages", "docs", "within", "number", "is_page", "roman", "top", "bottom", "titled", "long", "ends", "upper", "apart", "lower_start", "share"]
 
 
-def _furniture_features(lines: DataFrame) -> DataFrame:
-    lines = lines.withColumn("edge", (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE))
-    marked = lines.filter(F.length("sk") >= 4)
-    by_doc = marked.filter("edge").groupBy("origin", "doc", "sk").agg(F.approx_count_distinct("page", 0.02).alias("pages")).filter("pages > 1")
-    by_sk = marked.groupBy("sk").agg(F.approx_count_distinct(F.when(F.col("edge"), F.col("doc")), 0.02).alias("docs"), F.approx_count_distinct(F.when(~F.col("edge"), F.col("doc")), 0.02).alias("within"))
-    by_sk = by_sk.filter("docs + within > 1")
-    x = _looked_up(lines, staged(by_doc, "repeats-in-document"), ["origin", "doc", "sk"])
-    x = _looked_up(x, staged(by_sk, "repeats"), ["sk"])
+def _furniture_features(asked: DataFrame, lines: DataFrame) -> DataFrame:
+    """The features of the lines asked for, against the counts of all lines."""
+    at = F.col("edge").cast("int")
+    on_page = lines.filter(F.length("sk") >= 4).groupBy("origin", "doc", "sk", "page").agg(F.max(at).alias("e"), F.max(1 - at).alias("i"))
+    in_doc = staged(on_page.groupBy("origin", "doc", "sk").agg(F.sum("e").alias("pages"), F.max("e").alias("e"), F.max("i").alias("i")), "lines-of-documents")
+    by_doc = in_doc.filter("pages > 1").select("origin", "doc", "sk", "pages")
+    by_sk = in_doc.groupBy("sk", "doc").agg(F.max("e").alias("e"), F.max("i").alias("i")).groupBy("sk").agg(F.sum("e").alias("docs"), F.sum("i").alias("within"))
+    x = _looked_up(asked, by_doc, ["origin", "doc", "sk"])
+    x = _looked_up(x, staged(by_sk.filter("docs + within > 1"), "repeats"), ["sk"])
     length = F.length(F.trim("line"))
     t, size = F.col("title"), F.length("sk")  # the title's skeleton
     tail = F.substr("sk", size - 11, F.lit(12))  # a header may begin with an author
@@ -115,6 +125,7 @@ def _furniture_features(lines: DataFrame) -> DataFrame:
         "page",
         "line_no",
         "line",
+        "edge",
         F.log1p(F.coalesce("pages", F.when(F.col("edge"), F.lit(1)).otherwise(F.lit(0)))).alias("pages"),
         F.log1p(F.coalesce("docs", F.when(F.col("edge") & (size >= 4), F.lit(1)).otherwise(F.lit(0)))).alias("docs"),
         F.log1p(F.coalesce("within", F.lit(0))).alias("within"),
@@ -152,24 +163,28 @@ def _fitted(df: DataFrame, names: list[str], label: Column, order: Column) -> Bo
 
 
 def furniture(lines: DataFrame) -> DataFrame:
-    """The lines with the probability `furniture`."""
-    x = staged(_furniture_features(staged(lines, "page-lines")), "line-features")
-    edge = (F.col("top") <= EDGE) | (F.col("bottom") <= EDGE)
+    """The lines with the probability `furniture`, which is 0 beyond a page's edges."""
+    lines = staged(lines, "page-lines")
+    order = F.xxhash64("item_id", "line_no")
+    text = lines.filter("NOT edge").orderBy(order).limit(SAMPLE)  # examples only
+    x = staged(_furniture_features(lines.filter("edge").unionByName(text), lines), "line-features")
+    edge = F.col("edge")
     several, spread = F.log1p(F.lit(2.5)), F.log1p(F.lit(3.5))
     again = (F.col("ends") == 0) & (F.col("within") == 0) & ((F.col("pages") > several) | (F.col("docs") > spread))
     yes = edge & (again | ((F.col("number") == 1) & (F.col("is_page") == 1)))
     no = ~edge | (edge & (F.col("pages") <= F.log1p(F.lit(1.0))) & (F.col("docs") <= F.log1p(F.lit(1.0))) & (F.col("number") == 0) & (F.col("roman") == 0) & (F.col("titled") == 0) & (F.col("apart") == 0)) | ((F.col("within") > 0) & (F.col("within") >= F.col("docs") - 0.7))
-    model = _fitted(x, FURNITURE, F.when(yes, 1.0).when(no, 0.0), F.xxhash64("item_id", "line_no"))
-    return _scored(x, FURNITURE, model, "furniture").select("origin", "item_id", "doc", "ord", "page", "line_no", "line", "furniture")
+    model = _fitted(x, FURNITURE, F.when(yes, 1.0).when(no, 0.0), order)
+    cols = ["origin", "item_id", "doc", "ord", "page", "line_no", "line"]
+    return _scored(x.filter("edge"), FURNITURE, model, "furniture").select(*cols, "furniture").unionByName(lines.filter("NOT edge").select(*cols, F.lit(0.0).alias("furniture")))
 
 
 def lexicon(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """(w, n): words of all texts but scanned ones; `x-` counts x as the first part of a compound."""
-    scanned = files.filter("file_format = 'paged-text'")
-    b = blocks.join(_few(scanned.select("document_id").distinct()), "document_id", "left_anti").select(F.col("text").alias("t"))
-    c = chunks.join(_few(scanned.select(F.col("path").alias("file_path")).distinct()), "file_path", "left_anti").select(F.col("chunk_content").alias("t"))
+    scanned = staged(files.filter("file_format = 'paged-text'").select("document_id", "path").distinct(), "scanned-files")
+    b = blocks.join(_few(scanned.select("document_id")), "document_id", "left_anti").select(F.col("text").alias("t"))
+    c = chunks.join(_few(scanned.select(F.col("path").alias("file_path"))), "file_path", "left_anti").select(F.col("chunk_content").alias("t"))
     tokens = F.regexp_extract_all(F.lower("t"), F.lit(r"[a-z0-9à-öø-ÿœ]+(?:-(?=[a-zà-öø-ÿœ]))?"), F.lit(0))
-    counted = staged(b.unionByName(c).filter("t IS NOT NULL").select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n")).filter(F.length("w") <= 60), "words")
+    counted = staged(b.unionByName(c).filter("t IS NOT NULL").select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count("*").alias("n")), "words")
     part = counted.filter(F.col("w").endswith("-"))
     return counted.unionByName(part.select(F.expr("substring(w, 1, length(w) - 1)").alias("w"), "n")).groupBy("w").agg(F.sum("n").alias("n"))
 
@@ -178,14 +193,17 @@ def _counted(df: DataFrame, words: DataFrame, column: str, name: str) -> DataFra
     return df.join(words.select(F.col("w").alias(column), F.col("n").alias(name)), column, "left").withColumn(name, F.coalesce(name, F.lit(0)))
 
 
-PAIR = ["joined", "part", "first", "second", "capital", "short_a", "short_b"]
+PAIR = ["joined", "part", "first", "second", "capital", "soft", "short_a", "short_b"]
 
 
 def _pair_features(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """pairs: (…, a, b, capital). Adds log counts of the joined word, a as a compound's first part, a, and b."""
-    p = pairs.withColumn("j", F.concat("a", "b")).withColumn("p", F.concat("a", F.lit("-")))
-    for column, name in (("j", "joined"), ("p", "part"), ("a", "first"), ("b", "second")):
-        p = _counted(p, words, column, name).withColumn(name, F.log1p(name))
+    """pairs: (row, …, a, b, capital, soft). Adds log counts of the joined word, a as a compound's first part, a, and b."""
+    forms = {"joined": F.concat("a", "b"), "part": F.concat("a", F.lit("-")), "first": F.col("a"), "second": F.col("b")}
+    asked = pairs.select("row", F.explode(F.array(*[F.struct(F.lit(name).alias("form"), w.alias("w")) for name, w in forms.items()])).alias("q")).select("row", "q.form", "q.w")
+    heard = asked.join(words, "w").groupBy("row").agg(*[F.max(F.when(F.col("form") == name, F.col("n"))).alias(name) for name in forms])
+    p = pairs.join(heard, "row", "left")
+    for name in forms:
+        p = p.withColumn(name, F.log1p(F.coalesce(name, F.lit(0))))
     return p.withColumn("short_a", F.length("a").cast("double")).withColumn("short_b", F.length("b").cast("double"))
 
 
@@ -200,20 +218,22 @@ def cut_words(text_lines: DataFrame, words: DataFrame) -> DataFrame:
         ends = ends.join(first.select("origin", "doc", (F.col("p") - ahead).alias("page"), F.col("opens").alias(f"o{ahead}")), ["origin", "doc", "page"], "left")
     ends = ends.withColumn("next", F.coalesce("next", "o1", "o2"))
     ends = ends.select("origin", "item_id", "line_no", F.col("next.item_id").alias("next_item"), F.col("next.line_no").alias("next_no"), F.regexp_extract("line", rf"({TOKEN}){CUT}\s*$", 1).alias("raw_a"), F.col("next.b").alias("raw_b"), F.regexp_extract("line", rf"({CUT})\s*$", 1).alias("mark"))
-    ends = ends.withColumn("a", F.lower("raw_a")).withColumn("b", F.lower(F.coalesce("raw_b", F.lit("")))).withColumn("capital", F.col("raw_b").rlike(r"^\p{Lu}").cast("double"))
-    ends = _pair_features(ends.fillna(0.0, ["capital"]), words)
-    # Weak labels: words of the library cut somewhere, against first parts of its compounds before whole words.
+    ends = ends.withColumn("a", F.lower("raw_a")).withColumn("b", F.lower(F.coalesce("raw_b", F.lit("")))).withColumn("capital", F.coalesce(F.col("raw_b").rlike(r"^\p{Lu}"), F.lit(False)).cast("double"))
+    ends = ends.withColumn("soft", F.col("mark").isin(*SOFT).cast("double")).withColumn("row", F.concat_ws("\n", "origin", "item_id", "line_no"))
+    # Weak labels: words of the library cut somewhere, half of them by a mark that only cuts, against first parts of its compounds before whole words.
     known = words.filter((F.length("w") >= 6) & (F.col("n") >= KNOWN) & ~F.col("w").endswith("-") & ~F.col("w").rlike(r"\d"))
     at = F.lit(2) + F.pmod(F.xxhash64("w"), F.length("w") - 3).cast("int")
     order = F.xxhash64("w", F.lit(3))
-    yes = known.orderBy(order).limit(SAMPLE).select(F.substr("w", F.lit(1), at).alias("a"), F.substr("w", at + 1).alias("b"), F.lit(0.0).alias("capital"), F.lit(1.0).alias("y"))
+    yes = known.orderBy(order).limit(SAMPLE).select(F.substr("w", F.lit(1), at).alias("a"), F.substr("w", at + 1).alias("b"), F.lit(0.0).alias("capital"), F.pmod(F.xxhash64("w", F.lit(5)), F.lit(2)).cast("double").alias("soft"), F.lit(1.0).alias("y"))
     parts = words.filter(F.col("w").endswith("-") & (F.col("n") >= 1)).orderBy(F.col("n").desc(), "w").limit(SAMPLE // 2).select(F.expr("substring(w, 1, length(w) - 1)").alias("a"), F.row_number().over(Window.orderBy("w")).alias("k"))
     whole = known.orderBy(F.xxhash64("w", F.lit(4))).limit(SAMPLE // 2).select(F.col("w").alias("b"), F.row_number().over(Window.orderBy("w")).alias("k"))
-    no = parts.join(whole, "k").select("a", "b", (F.pmod(F.col("k"), F.lit(3)) == 0).cast("double").alias("capital"), F.lit(0.0).alias("y"))
-    drawn = _pair_features(yes.unionByName(no), words)
-    model = _fitted(drawn, PAIR, F.col("y"), F.xxhash64("a", "b"))
-    scored = _scored(ends, PAIR, model, "p_cut")
-    return scored.select("origin", "item_id", "line_no", "next_item", "next_no", "a", "b", F.when(F.col("raw_b").isNull(), F.col("mark").isin(*SOFT)).otherwise(F.col("mark").isin(*SOFT) | (F.col("p_cut") >= 0.5)).alias("cut"))
+    no = parts.join(whole, "k").select("a", "b", (F.pmod(F.col("k"), F.lit(3)) == 0).cast("double").alias("capital"), F.lit(0.0).alias("soft"), F.lit(0.0).alias("y"))
+    ends = staged(ends, "line-ends")
+    drawn = yes.unionByName(no).withColumn("row", F.concat_ws("\n", F.lit("drawn"), "a", "b", "y"))
+    both = staged(_pair_features(ends.unionByName(drawn, allowMissingColumns=True), words), "line-pairs")
+    model = _fitted(both, PAIR, F.col("y"), F.xxhash64("a", "b"))
+    scored = _scored(both.filter("y IS NULL"), PAIR, model, "p_cut")
+    return scored.select("origin", "item_id", "line_no", "next_item", "next_no", "a", "b", (F.col("p_cut") >= 0.5).alias("cut"))
 
 
 def _grams(word: Column) -> Column:
@@ -224,20 +244,24 @@ def _grams(word: Column) -> Column:
 RANK = ["equal", "shared", "edits", "folded_edits", "heard", "own", "longer", "size", "digit", "first_same"]
 
 
-def candidates(rare: DataFrame, known: DataFrame) -> DataFrame:
-    """rare: (w, own). Known words that share OVERLAP of the folded 3-grams, found through the rarest grams of each rare word only."""
+def candidates(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """asked: (kind, w, own). Known words that share OVERLAP of the folded 3-grams, found through the rarest grams of each word asked for only."""
     k = known.select(F.col("w").alias("c"), F.col("n").alias("heard"), folded(F.col("w")).alias("fc"))
     posting = k.select("c", "heard", "fc", F.explode(_grams(F.col("fc"))).alias("g"))
     freq = posting.groupBy("g").agg(F.count("*").alias("df"))
-    r = rare.withColumn("fw", folded(F.col("w"))).withColumn("gw", _grams(F.col("fw")))
-    probes = r.select("w", "own", "fw", F.size("gw").alias("m"), F.explode("gw").alias("g")).join(F.broadcast(freq), "g")  # at most all 3-grams of letters and digits
-    place = F.row_number().over(Window.partitionBy("w").orderBy("df", "g"))
+    r = asked.withColumn("fw", folded(F.col("w"))).withColumn("gw", _grams(F.col("fw")))
+    probes = r.select("kind", "w", "own", "fw", F.size("gw").alias("m"), F.explode_outer("gw").alias("g")).join(freq, "g")
+    place = F.row_number().over(Window.partitionBy("kind", "w").orderBy("df", "g"))
     probes = probes.withColumn("place", place).filter(F.col("place") <= F.col("m") - F.ceil(F.col("m") * OVERLAP) + 1).drop("m", "df", "place")
     near = (F.abs(F.length("fw") - F.length("fc")) <= 3) & (F.col("w") != F.col("c")) & (F.col("own") <= MISREAD_SHARE * F.col("heard"))
-    met = probes.join(posting, "g").filter(near).filter(F.levenshtein("fw", "fc") <= 3).drop("g").distinct()
-    shared, longer = F.size(F.array_intersect(_grams(F.col("fw")), _grams(F.col("fc")))), F.greatest(F.size(_grams(F.col("fw"))), F.size(_grams(F.col("fc"))))
-    x = met.withColumn("together", shared).withColumn("most", longer).filter(F.col("together") >= F.ceil(F.col("most") * OVERLAP))
+    met = probes.join(posting, "g").filter(near).groupBy("kind", "w", "own", "fw", "c", "heard", "fc").agg(F.count("*").alias("times"))
+    met = met.filter(F.when(F.col("times") > 0, F.levenshtein("fw", "fc", 3)) >= 0)  # tied to the count, so it isn't worked out for each shared gram
+    both = F.array(F.struct(_grams(F.col("fw")).alias("gw"), _grams(F.col("fc")).alias("gc")))
+    counted = F.transform(both, lambda s: F.struct(F.size(F.array_intersect(s["gw"], s["gc"])).alias("together"), F.greatest(F.size(s["gw"]), F.size(s["gc"])).alias("most")))
+    kept = F.filter(counted, lambda s: s["together"] >= F.ceil(s["most"] * OVERLAP))  # one expression, so the 3-grams are worked out once
+    x = met.select("*", F.explode(kept).alias("s")).select("*", "s.together", "s.most")
     return x.select(
+        "kind",
         "w",
         "c",
         (F.col("fw") == F.col("fc")).cast("double").alias("equal"),
@@ -276,16 +300,17 @@ def corrections(tokens: DataFrame, words: DataFrame) -> DataFrame:
     known = words.filter((F.col("n") >= max(KNOWN, KNOWN_SHARE * total)) & (F.length("w") >= 3) & ~F.col("w").endswith("-") & ~F.col("w").rlike(r"\d"))
     known = staged(known, "known-words")
     rare = _counted(tokens.select("w").distinct(), words, "w", "own").filter((F.col("own") < max(KNOWN, RARE_SHARE * total)) & (F.length("w") >= 3) & F.col("w").rlike(r"\p{L}"))
-    found = staged(candidates(rare, known), "candidates")
     # Weak labels: spoilt words against their sources; and words that only look alike.
     drawn = known.filter(F.col("n") >= 2 * KNOWN).orderBy(F.xxhash64("w", F.lit(7))).limit(WORDS)
-    bad = _spoilt(drawn)
-    spoilt = candidates(bad.select("w").distinct().withColumn("own", F.lit(0)), known).join(bad, "w")
-    spoilt = spoilt.withColumn("y", (F.col("c") == F.col("source")).cast("double")).drop("source")
-    alike = candidates(drawn.select("w", F.lit(0).alias("own")), known).withColumn("y", F.lit(0.0))
-    taught = staged(spoilt.unionByName(alike), "ranking-labels")
+    bad = staged(_spoilt(drawn), "spoilt-words")
+    asked = rare.select(F.lit("met").alias("kind"), "w", F.col("own").cast("long").alias("own"))
+    for kind, ws in (("spoilt", bad.select("w").distinct()), ("alike", drawn.select("w"))):
+        asked = asked.unionByName(ws.select(F.lit(kind).alias("kind"), "w", F.lit(0).cast("long").alias("own")))
+    found = staged(candidates(staged(asked, "asked-words"), known), "candidates")
+    spoilt = found.filter("kind = 'spoilt'").join(bad, "w").withColumn("y", (F.col("c") == F.col("source")).cast("double")).drop("source")
+    taught = spoilt.unionByName(found.filter("kind = 'alike'").withColumn("y", F.lit(0.0)))
     model = _fitted(taught, RANK, F.col("y"), F.xxhash64("w", "c"))
-    scored = _scored(found, RANK, model, "p")
+    scored = _scored(found.filter("kind = 'met'"), RANK, model, "p")
     return scored.groupBy("w").agg(F.max(F.struct("p", "heard", "c")).alias("best")).select("w", F.col("best.c").alias("c"), F.col("best.p").alias("p")).filter("p >= 0.5")
 
 
@@ -312,7 +337,7 @@ def defects(files: DataFrame, blocks: DataFrame, chunks: DataFrame) -> tuple[Dat
     numbers = numbers.unionByName(letters.select("origin", "item_id", "line_no", "w", F.translate("w", "lo", "10").alias("c")))
     joined = cuts.filter("next_item IS NOT NULL").select("origin", "item_id", "line_no", "next_item", "next_no", "a", F.concat("a", "b").alias("w"))
     better = staged(corrections(tokens.select("w").unionByName(joined.select("w")), words), "corrections").select("w", "c")
-    better = F.broadcast(better) if better.count() <= MOST_SENT else better
+    better = _few(better)
     whole = tokens.join(better, "w").select("origin", "item_id", "line_no", "w", "c")
     behind = F.substr("c", F.lit(1), F.length("a")) == F.col("a")  # the first half is right, so the second is not
     split = joined.join(better, "w").select("origin", F.when(behind, F.col("next_item")).otherwise(F.col("item_id")).alias("item_id"), F.when(behind, F.col("next_no")).otherwise(F.col("line_no")).alias("line_no"), "w", "c")
@@ -334,7 +359,7 @@ def repaired(lines: DataFrame, cuts: DataFrame, misread: DataFrame) -> DataFrame
     """(origin, doc, page, text, goes_on): each page without furniture, words joined and put right, paragraphs parted by
     a blank line. `goes_on`: the page ends within a sentence, so its last paragraph goes on on the next page."""
     key = ["origin", "item_id", "line_no"]
-    better = misread.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("w", "c"))).alias("fixes"))  # of one line
+    better = staged(misread.groupBy(*key).agg(F.array_sort(F.collect_set(F.struct("w", "c"))).alias("fixes")), "fixes")  # of one line
     heads = cuts.filter("next_item IS NOT NULL").select(*key, "b", F.lit(True).alias("head_cut"))
     tails = cuts.filter("next_item IS NOT NULL").select("origin", F.col("next_item").alias("item_id"), F.col("next_no").alias("line_no"), F.lit(True).alias("tail_cut")).distinct()
     x = lines.filter("furniture < 0.5")
