@@ -1,14 +1,26 @@
-"""Literal search: a pattern's characters, white space left out, within a text's characters, white space left out."""
+"""Literal search: a pattern's characters, white space left out, within a text's characters, white space left out.
+
+An inverted join of windows. Texts are cut into windows of w characters one after the other, patterns into all windows of
+w characters. A pattern of at least 2 w - 1 characters that stands in a text covers a whole window of it, at one of w
+offsets; so for each offset the pattern asks for one window only, the one that is rarest in the texts by count, and the
+texts with that window are candidates. They are compared in full. Patterns of each length use the largest w that fits,
+down to single characters, so none is too short.
+
+Texts are cut once for each w that some pattern needs, and only windows that some pattern has are shuffled.
+Defined results: null and blank patterns and texts match nothing; repeated rows count once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from functools import reduce
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_SENT = 20_000_000  # code points of patterns that are sent to tasks
+from foliant.sources.tables import small, staged
+
+WINDOWS = (32, 16, 8, 4, 2, 1)
+MOST_SENT = 32 << 20  # bytes of the patterns' windows that are broadcast; beyond, a shuffled join
 
 
 def stripped(text: Column) -> Column:
@@ -16,39 +28,30 @@ def stripped(text: Column) -> Column:
 
 
 def containing(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """rows (row_id, text), patterns (query_id, pattern) -> (query_id, row_id) of each text with a pattern.
-
-    One automaton of all patterns reads each text once, whatever their number; the patterns' size is checked before
-    they are sent. Null and blank patterns and texts match nothing.
-    """
-    patterns = patterns.select("query_id", stripped(F.col("pattern")).alias("p")).filter("p <> ''").distinct()
-    size = patterns.agg(F.sum(F.length("p"))).first()[0] or 0
+    """rows (row_id, text), patterns (query_id, pattern) -> (query_id, row_id) of each text with a pattern."""
+    asked = staged(patterns.select("query_id", stripped(F.col("pattern")).alias("p")).filter("p <> ''").distinct().withColumn("pid", F.xxhash64("p")), "patterns")
     texts = rows.select("row_id", stripped(F.col("text")).alias("t")).filter("t <> ''")
-    if size > MOST_SENT:  # the patterns' rarest-looking start, 8 characters, meets all windows of the texts
-        windows = texts.select("row_id", "t", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("t") - 7)), lambda i: F.substr("t", i, F.lit(8))))).alias("g"))
-        long = windows.join(patterns.withColumn("g", F.substring("p", 1, 8)), "g").filter(F.contains("t", F.col("p"))).select("query_id", "row_id")
-        return long.distinct()
-    listed = [tuple(r) for r in patterns.collect()]
-    sent = rows.sparkSession.sparkContext.broadcast(listed)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import ahocorasick
-
-        by: dict[str, list[int]] = {}
-        for q, p in sent.value:
-            by.setdefault(p, []).append(q)
-        machine = ahocorasick.Automaton()
-        for p in by:
-            machine.add_word(p, p)
-        if by:
-            machine.make_automaton()
-        for batch in batches:
-            qs, rs = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if by else ():
-                for p in {p for _, p in machine.iter(text)}:
-                    for q in by[p]:
-                        qs.append(q)
-                        rs.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(qs, pa.int64()), pa.array(rs, pa.string())], ["query_id", "row_id"])
-
-    return texts.select(F.col("row_id").cast("string").alias("row_id"), "t").mapInArrow(run, "query_id long, row_id string").distinct()
+    fits = [F.when(F.length("p") >= 2 * w - 1, w) for w in WINDOWS]
+    forms = asked.select("pid", "p", F.coalesce(*fits).alias("w")).distinct()
+    used = sorted(r["w"] for r in forms.select("w").distinct().collect())  # at most one for each of WINDOWS
+    if not used:
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((patterns, "query_id"), (rows, "row_id"))]
+        return rows.sparkSession.createDataFrame([], f"query_id {kinds[0]}, row_id {kinds[1]}")
+
+    def all_windows(w: int) -> DataFrame:
+        at = F.posexplode(F.regexp_extract_all("p", F.lit(f"(?s)(?=(.{{{w}}}))."), F.lit(1))).alias("at", "g")
+        return forms.filter(F.col("w") == w).select("pid", at).select("pid", F.pmod("at", F.lit(w)).alias("offset"), F.xxhash64(F.lit(w), "g").alias("g"))
+
+    def own_windows(w: int) -> DataFrame:
+        cut = F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(f"(?s).{{{w}}}"), F.lit(0)))).alias("g")
+        return texts.select("row_id", cut).select("row_id", F.xxhash64(F.lit(w), "g").alias("g"))
+
+    wanted = staged(reduce(DataFrame.unionByName, map(all_windows, used)).distinct(), "pattern-windows")
+    keys = wanted.select("g").distinct()
+    keys = F.broadcast(keys) if small(wanted, MOST_SENT) else keys
+    there = staged(reduce(DataFrame.unionByName, map(own_windows, used)).join(keys, "g", "left_semi"), "text-windows")
+    counted = there.groupBy("g").agg(F.count("*").alias("n"))
+    rarest = wanted.join(counted, "g", "left").groupBy("pid", "offset").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "g")).alias("r"))
+    probes = rarest.filter("r.n > 0").select("pid", F.col("r.g").alias("g")).distinct()
+    met = probes.join(there, "g").select("pid", "row_id").distinct()
+    return met.join(texts, "row_id").join(asked, "pid").filter(F.contains("t", F.col("p"))).select("query_id", "row_id").distinct()

@@ -1,9 +1,9 @@
 """Exact nearest vectors for a stated set of query vectors.
 
-Queries are taken in blocks of at most BLOCK vectors, whose size in bytes is therefore bounded; a block is sent to the
-tasks, each task multiplies its Arrow batches with it and keeps its K best for each query, and only those are
-shuffled. Every row is looked at, nothing is sampled. Vectors of another length, with a null, NaN or infinite number,
-or all zero take no part, as rows or as queries.
+Every row is looked at, nothing is sampled. The query set goes with the tasks in blocks of at most MOST_SENT bytes; each
+task multiplies its Arrow batches with a block, row slice by query slice, keeps the K best of each query, and only those
+lists are shuffled. A block is one scan of the rows, so a scan answers tens of thousands of queries. Vectors of another
+length, with a null, NaN or infinite number, or all zero take no part, as rows or as queries.
 """
 
 from __future__ import annotations
@@ -16,9 +16,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliant.operators.lexical import top
+from foliant.operators.best import Best
+from foliant.operators.lexical import UNIT, top
 
-BLOCK = 2048
+MOST_SENT = 64 << 20  # bytes of the query vectors of a block
+SLICE = 2048  # rows, and queries, of one product
 
 
 def usable(vector: Column, dim: int) -> Column:
@@ -43,34 +45,34 @@ def cosine(a: Column, b: Column) -> Column:
 def knn(rows: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame:
     """rows (row_id, v), queries (query_id, v) -> (query_id, row_id, cosine, rank), by distance of unit vectors."""
     rows, queries = rows.filter(usable(F.col("v"), dim)).select("row_id", "v"), queries.filter(usable(F.col("v"), dim)).select("query_id", "v")
-    n = queries.count()
-    parts = max(1, -(-n // BLOCK))
-    blocks = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(2 * parts)) == i) if parts > 1 else queries for i in range(2 * parts if parts > 1 else 1)]
-    found = [_against(rows, [tuple(r) for r in b.collect()], k, dim) for b in blocks]
-    return top(reduce(DataFrame.unionByName, found), k, "cosine")
+    size = queries.count() * 8 * dim
+    parts = 1 if size <= MOST_SENT else 2 * -(-size // MOST_SENT)
+    blocks = [queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == i) if parts > 1 else queries for i in range(parts)]
+    return top(reduce(DataFrame.unionByName, [_against(rows, block.toArrow(), k, dim) for block in blocks]), k, "cosine")
 
 
-def _against(rows: DataFrame, block: list[tuple], k: int, dim: int) -> DataFrame:
-    ids = np.array([r[0] for r in block], np.int64)
-    q = np.array([r[1] for r in block], np.float64).reshape(len(block), dim)
-    q /= np.sqrt((q * q).sum(1, keepdims=True))
-    sent = rows.sparkSession.sparkContext.broadcast((ids, q))
+def _units(vectors: pa.Array, dim: int) -> np.ndarray:
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
+def _against(rows: DataFrame, block: pa.Table, k: int, dim: int) -> DataFrame:
+    block = block.combine_chunks()
+    asked = np.concatenate([_units(c, dim) for c in block.column("v").chunks] or [np.zeros((0, dim))])
+    sent = rows.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), asked))
+    kinds = [rows.schema["row_id"].dataType.simpleString()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q = sent.value
-        best_c, best_r = np.full((len(ids), 0), -2.0), np.zeros((len(ids), 0), np.int64)
+        ids, asked = sent.value
+        best = [Best(len(asked[q : q + SLICE]), k) for q in range(0, len(asked), SLICE)]
         for batch in batches:
-            if not batch.num_rows or not len(ids):
-                continue
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            x = x / np.sqrt((x * x).sum(1, keepdims=True))
-            c = np.concatenate([best_c, q @ x.T], 1)
-            r = np.concatenate([best_r, np.broadcast_to(batch.column(0).to_numpy(), (len(ids), len(x)))], 1)
-            if c.shape[1] > k:  # ties go to the smaller row id
-                order = np.lexsort((r, -np.round(c, 6)), axis=1)[:, :k]
-                c, r = np.take_along_axis(c, order, 1), np.take_along_axis(r, order, 1)
-            best_c, best_r = c, r
-        at = np.repeat(ids, best_c.shape[1])
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.ascontiguousarray(best_r).reshape(-1)), pa.array(np.ascontiguousarray(best_c).reshape(-1))], ["query_id", "row_id", "cosine"])
-
-    return rows.mapInArrow(run, "query_id long, row_id long, cosine double")
+            for start in range(0, batch.num_rows, SLICE):
+                part = batch.slice(start, SLICE)
+                x, names = _units(part.column(1), dim), part.column(0).to_numpy(zero_copy_only=False)
+                for i, b in enumerate(best):
+                    b.add(np.rint((x @ asked[i * SLICE : (i + 1) * SLICE].T) * UNIT).astype(np.int64), names)
+        for i, b in enumerate(best):
+            query, score, names = b.listed()
+            yield pa.RecordBatch.from_arrays([pa.array(ids[query + i * SLICE]), pa.array(names.tolist(), pa.string() if kinds[0] == "string" else pa.int64()), pa.array(score / UNIT)], ["query_id", "row_id", "cosine"])
+
+    return rows.mapInArrow(run, f"query_id long, row_id {kinds[0]}, cosine double")

@@ -14,7 +14,7 @@ from foliant.operators.lexical import bm25, documents_of
 from foliant.plans.reading import _est
 from foliant.plans.retrieval import _bm25_sql, _tok
 from foliant.plans.views import current, current_sql
-from foliant.sources.tables import newest, table
+from foliant.sources.tables import newest, staged, table
 
 ROOT = "/library/"
 
@@ -166,7 +166,7 @@ def eval_recall_mrr(spark: SparkSession, d: str) -> DataFrame:
 
 def eval_modes(spark: SparkSession, d: str) -> DataFrame:
     """Mean recall and reciprocal rank at several depths."""
-    labels, hits = _labels(spark, d), _hits(spark, d, 30)
+    labels, hits = staged(_labels(spark, d), "labels"), staged(_hits(spark, d, 30), "hits")
     parts = [E.scored(labels, hits, k).agg(F.lit(k).alias("k"), F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr")) for k in (1, 5, 30)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 

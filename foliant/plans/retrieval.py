@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from foliant.functions.search import MARKED, PLAIN, han_bigrams, han_index_terms, han_query_terms, tokens
 from foliant.functions.text import heading, token_estimate
 from foliant.operators.fusion import boosted, first_word, fused
-from foliant.operators.lexical import bm25, documents_of, phrases, top
+from foliant.operators.lexical import bm25, documents_of, top
 from foliant.operators.literal import containing
 from foliant.operators.vectors import knn
 from foliant.plans.views import current, current_sql
-from foliant.sources.tables import table
+from foliant.sources.tables import staged, table
 
 K, RECALL, ALPHA, DIM = 10, 200, 0.3, 128
 ROOT = "/library/"
@@ -93,7 +93,7 @@ def han_gate(spark: SparkSession, d: str) -> DataFrame:
     """Which Han queries have a pair that occurs anywhere: without, the lexical list is dropped."""
     pairs = _asked(spark, d, True).select("query_id", F.explode(F.array_distinct(han_bigrams(F.col("query")))).alias("term"))
     text = F.concat_ws(" ", "content", "rel", "heading")
-    there = _chunks(spark, d).select(F.explode(F.array_distinct(han_bigrams(text))).alias("term")).distinct()
+    there = _chunks(spark, d).select(F.explode(F.array_distinct(han_bigrams(text))).alias("term")).join(pairs.select("term").distinct(), "term", "left_semi").distinct()
     return pairs.join(there.withColumn("hit", F.lit(1)), "term", "left").groupBy("query_id").agg(F.count("*").alias("pairs"), F.count("hit").alias("found")).withColumn("keep_lexical", F.col("found") > 0)
 
 
@@ -142,8 +142,7 @@ def hybrid_fusion(spark: SparkSession, d: str) -> DataFrame:
 
 def hybrid_alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
     """How many of the best ten are shared with the vector list, for several weights."""
-    lex, vec = _hybrid_lists(spark, d)
-    lex, vec = lex.persist(), vec.persist()
+    lex, vec = (staged(x, "ranked-lists") for x in _hybrid_lists(spark, d))
     near = vec.filter(F.col("rank") <= K).select("query_id", "row_id", F.lit(1).alias("near"))
     parts = [fused(lex, vec, a, K).join(near, ["query_id", "row_id"], "left").agg(F.lit(a).alias("alpha"), F.count("*").alias("hits"), F.count("near").alias("shared")) for a in (0.0, 0.3, 0.5, 1.0)]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])

@@ -1,4 +1,5 @@
 import math
+import random
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -61,9 +62,42 @@ def test_fusion_orders_at_each_weight(spark):
     assert [r["hybrid"] for r in fused(lex, vec.limit(0), 0.3, 9).orderBy("rank").collect()] == [1.0, 0.0]
 
 
-def test_literal_ignores_blanks_and_joins_alike(spark, monkeypatch):
-    rows = spark.createDataFrame([("1", "a b\nc d e f g h i"), ("2", None), ("3", "")], "row_id string, text string")
-    patterns = spark.createDataFrame([(7, "bcdefghi j".replace(" j", "")), (8, " "), (9, None)], "query_id long, pattern string")
-    assert [tuple(r) for r in containing(rows, patterns).collect()] == [(7, "1")]
-    monkeypatch.setattr("foliant.operators.literal.MOST_SENT", 0)
-    assert [tuple(r) for r in containing(rows, patterns).collect()] == [(7, "1")]
+def test_literal_equals_contains_at_every_length(spark, monkeypatch):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("ab \n\U0001f600c") for _ in range(n)) for n in (0, 1, 2, 3, 40, 90, 200)] + [None, "x" * 50_000]
+    bare = ["".join(c for c in t or "" if c not in " \n\t\r") for t in texts]
+    patterns = [t[a : a + n] for t in bare for n in (1, 2, 3, 7, 8, 15, 16, 31, 63, 80) for a in (0, 3, 11) if t[a : a + n]] + ["nowhere", " ", None, "a"]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "row_id string, text string")
+    asked = spark.createDataFrame(list(enumerate(patterns)), "query_id long, pattern string")
+    want = {(q, str(i)) for q, p in enumerate(patterns) if p and p.strip() for i, t in enumerate(bare) if p in t}
+    for most in (1 << 20, 0):
+        monkeypatch.setattr("foliant.operators.literal.MOST_SENT", most)
+        got = [tuple(r) for r in containing(rows, asked).collect()]
+        assert set(got) == want and len(got) == len(want)
+    assert containing(rows, asked.filter("query_id < 0")).count() == containing(rows.limit(0), asked).count() == 0
+
+
+def test_blocks_of_queries_answer_alike(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: rng.choice("alpha beta gamma delta-eps the the zeta".split())
+    rows = [(f"r{i}", " ".join(word() for _ in range(rng.randint(0, 30))), "p") for i in range(300)]
+    d = documents_of(spark.createDataFrame(rows, "id string, body string, path string"), "id", ["body", "path"])
+    q = asked(spark, *[" ".join(word() for _ in range(3)) for _ in range(40)])
+    one = sorted(map(tuple, bm25(d, q, 7).collect()))
+    monkeypatch.setattr("foliant.operators.lexical.MOST_ASKED", 10)
+    monkeypatch.setattr("foliant.operators.lexical.CELLS", 100)
+    assert one == sorted(map(tuple, bm25(d, q, 7).collect())) and len(one) == 280
+    some = q.select("query_id").crossJoin(d.select("row_id").filter("row_id < 'r2'"))
+    by_row = sorted(map(tuple, bm25(d, q, 7, some.select("row_id").distinct()).collect()))
+    assert by_row == sorted(map(tuple, bm25(d, q, 7, some).collect()))
+
+
+def test_blocks_of_query_vectors_answer_alike(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    df = spark.createDataFrame([(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(400)], "row_id long, v array<float>")
+    q = df.filter("row_id % 7 = 0").withColumnRenamed("row_id", "query_id")
+    one = sorted(map(tuple, knn(df, q, 9, 4).collect()))
+    monkeypatch.setattr("foliant.operators.vectors.MOST_SENT", 500)
+    monkeypatch.setattr("foliant.operators.vectors.SLICE", 30)
+    assert one == sorted(map(tuple, knn(df, q, 9, 4).collect()))
+    assert knn(df.limit(0), q, 9, 4).count() == knn(df, q.limit(0), 9, 4).count() == 0
