@@ -32,14 +32,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from foliant.sources.tables import staged, table
+from foliant.sources.tables import small, staged, table
 
 Q, LEAST, SIMILARITY = 5, 100, 0.6
 POSITIONS, SEGMENT, BINS = 96, 4, 48
 BUDGET = 44  # differing positions of 96; similarity 0.6 expects 28.8 with a deviation of 4.5
 PARTS, CHAIN = 12, 4  # of the ring
 HOT, BLOCK = 4096, 2048  # a segment hash shared by more rows than HOT is split into blocks of about BLOCK
-MOST_SENT = 2_000_000  # most text keys (8 bytes each) that are broadcast; beyond, a shuffled join
+MOST_SENT = 32 << 20  # most bytes of seeds whose texts' keys are broadcast; beyond, a shuffled join
+MEMBERS = 4096  # a class of equal texts is listed by blocks of about so many records
 
 
 def normal_text(text: Column) -> Column:
@@ -229,31 +230,64 @@ def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int =
     classes = sketched.select("id", "h").distinct()
     seeds = staged(_seeds(sketched, budget), "near-duplicate-seeds")
     wanted = seeds.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-    if seeds.count() <= MOST_SENT // 2:
-        wanted = F.broadcast(wanted)
-    full = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
+    wanted = F.broadcast(wanted) if small(seeds, MOST_SENT) else wanted
+    there = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
+    full = staged(there.select("h", "k", _gram_sets(q)("t").alias("g")), "near-duplicate-sets")  # once for each text, not for each of its pairs
+    a, b = full.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("g").alias("ga")), full.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("g").alias("gb"))
+    links = seeds.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), _alike()("ga", "gb").alias("similarity")).filter(F.col("similarity") >= similarity)
+    return classes, staged(links, "near-duplicate-links")
+
+
+def _gram_sets(q: int):
+    """A column function: the sorted hashes of a text's substrings of q code points, 8 bytes each. With 64 bits no two
+    substrings of a pair of texts share one but once in some 10^12 pairs."""
+
+    @F.pandas_udf("binary")
+    def run(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            gram = np.zeros(len(cp) - q + 1, np.uint64)
+            with np.errstate(over="ignore"):
+                for j in range(q):
+                    gram = _mixed(gram * np.uint64(0x100000001B3) + cp[j : j + len(gram)] + np.uint64(1))
+            out.append(np.unique(gram).tobytes())
+        return pd.Series(out)
+
+    return run
+
+
+def _alike():
+    """A column function: intersection over union of two sorted sets."""
 
     @F.pandas_udf("double")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
         out = []
         for s, t in zip(x, y):
-            m = {s[i : i + q] for i in range(len(s) - q + 1)}
-            n = {t[i : i + q] for i in range(len(t) - q + 1)}
-            both = len(m & n)
+            m, n = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
+            at = np.minimum(np.searchsorted(n, m), len(n) - 1)
+            both = int((n[at] == m).sum())
             out.append(both / (len(m) + len(n) - both))
         return pd.Series(out)
 
-    a, b = full.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta")), full.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
-    links = seeds.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), alike("ta", "tb").alias("similarity")).filter(F.col("similarity") >= similarity)
-    return classes, links
+    return run
 
 
 def pairs(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """Every pair of records: of linked classes, and within a class."""
-    a, b = classes.select(F.col("h").alias("a"), F.col("id").alias("x")), classes.select(F.col("h").alias("b"), F.col("id").alias("y"))
-    across = links.select("a", "b").join(a, "a").join(b, "b").select("x", "y")
-    within = a.join(b, (F.col("a") == F.col("b")) & (F.col("x") < F.col("y"))).select("x", "y")
-    return across.unionByName(within).select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
+    """Every pair of records: of linked classes, and within a class. The members of a class are numbered in blocks of
+    MEMBERS, and pairs are made by pairs of blocks, so a text that has a third of all records spreads over many tasks."""
+    counted = classes.groupBy("h").agg(F.ceil(F.count("*") / MEMBERS).cast("int").alias("blocks"))
+    several = staged(counted.filter("blocks > 1"), "large-classes")  # at most one for MEMBERS records
+    large = F.broadcast(several) if small(several, MOST_SENT) else several
+    members = classes.join(large, "h", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    a, b = members.select(F.col("h").alias("a"), F.col("id").alias("x"), F.col("block").alias("i")), members.select(F.col("h").alias("b"), F.col("id").alias("y"), F.col("block").alias("j"))
+    of = large.select("h", "blocks")
+    met = links.select("a", "b").unionByName(classes.groupBy(F.col("h").alias("a")).agg(F.count("*").alias("n")).filter("n > 1").select("a", F.col("a").alias("b")))
+    for side, no in (("a", "i"), ("b", "j")):
+        met = met.join(of.select(F.col("h").alias(side), F.col("blocks").alias(no)), side, "left").withColumn(no, F.explode(F.sequence(F.lit(0), F.coalesce(no, F.lit(1)) - 1)))
+    out = met.filter((F.col("a") != F.col("b")) | (F.col("i") <= F.col("j"))).join(a, ["a", "i"]).join(b, ["b", "j"])
+    out = out.filter((F.col("a") != F.col("b")) | (F.col("i") != F.col("j")) | (F.col("x") < F.col("y")))
+    return out.select(F.least("x", "y").alias("chunk_a"), F.greatest("x", "y").alias("chunk_b"))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -45,6 +45,16 @@ def test_copies_case_blanks_nulls_and_repeats(spark):
     assert N.pairs(*N.near_duplicates(df.limit(0), "id", "body")).count() == 0
 
 
+def test_large_classes_are_listed_by_blocks(spark, monkeypatch):
+    classes = spark.createDataFrame([(f"a{i}", bytearray(b"a")) for i in range(40)] + [(f"b{i}", bytearray(b"b")) for i in range(25)] + [("c", bytearray(b"c"))], "id string, h binary")
+    links = spark.createDataFrame([(bytearray(b"a"), bytearray(b"b")), (bytearray(b"c"), bytearray(b"b"))], "a binary, b binary")
+    monkeypatch.setattr(N, "MEMBERS", 7)
+    got = [tuple(r) for r in N.pairs(classes, links).collect()]
+    a, b = [f"a{i}" for i in range(40)], [f"b{i}" for i in range(25)]
+    want = {tuple(sorted(p)) for p in [(x, y) for x in a for y in a + b if x != y] + [(x, y) for x in b for y in b + ["c"] if x != y]}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_a_hot_segment_is_joined_by_blocks(spark):
     rng = np.random.default_rng(1)
     h = rng.integers(1, 2**60, 6000)
