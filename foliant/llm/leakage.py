@@ -201,6 +201,12 @@ def p6_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"))
 
 
+def p6_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold at least half of an item's passage in tiles of 8 tokens or more, in whatever order these stand: passages that were cut up and put together anew leak too."""
+    got = leaked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_cases"), run=8, least_coverage=0.5)
+    return got.select("doc_id", "case_id", "longest", "tiles", "coverage")
+
+
 _TOK = "regexp_extract_all(regexp_replace(lower({0}), '([\\x{{3400}}-\\x{{9fff}}\\x{{f900}}-\\x{{faff}}\\x{{3040}}-\\x{{30ff}}])', ' \\1 ', 'g'), '[\\p{{L}}\\p{{N}}\\x{{3040}}-\\x{{30ff}}]+')"
 SQL = {
     "p6_found": f"""
@@ -211,4 +217,4 @@ cw AS (SELECT DISTINCT case_id, array_to_string(t[i:i+15], ' ') AS w FROM (SELEC
 SELECT DISTINCT doc_id, case_id FROM dw JOIN cw USING (w)""",
 }
 
-QUERIES = {"p6_found": p6_found, "p6_coverage": p6_coverage}
+QUERIES = {"p6_found": p6_found, "p6_coverage": p6_coverage, "p6_reordered": p6_reordered}
