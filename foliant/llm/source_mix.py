@@ -6,9 +6,11 @@ retried task or a second run draws the same counts. Counts are cut at the source
 mean of the cut distribution still meets the target. A source that misses its target even at its cap repeats every
 document cap times.
 
-One narrow aggregate by document and source gives the sizes (partial sums before the shuffle: a hot source is no hot
-task), the rates are a table of one row for each listed source, and replication is a map-side explode. The only other
-shuffle is the global one that mixes the copies. Nothing is collected.
+Sizes are worked out in one pass and written as narrow rows, once for each document; all counts derive from them. The
+rates are a table of one row for each listed source, sent to the tasks if it is small. Texts are read once more for the
+mixture: a row's copies are made where it is read, and one shuffle, by a random place, brings them in order; repeated
+rows meet at the same places and drop out there. Sizes are summed before they are shuffled, so a hot source is no hot
+task. Nothing is collected.
 
 Defined results: sources compare trimmed and lower-cased; null sources and sources not listed take no part; null and
 blank texts have size 0 and no copy; a listed source without documents has share 0; a weight that is null, negative
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliant.functions.text import token_estimate
-from foliant.sources.tables import table
+from foliant.sources.tables import small, staged, table
 
 
 def source_key(source: Column) -> Column:
@@ -42,15 +44,14 @@ def cut_poisson(rate: float, cap: int) -> list[float]:
         return []
 
     def below(mean: float) -> list[float]:
-        out, term, total = [], math.exp(-mean), 0.0
-        for k in range(cap):
-            total += term
+        out, total = [], 0.0
+        for k in range(cap):  # by logarithms, for e to the minus mean may vanish
+            total += math.exp(k * math.log(mean) - mean - math.lgamma(k + 1)) if mean > 0 else float(k == 0)
             out.append(min(total, 1.0))
-            term *= mean / (k + 1)
         return out
 
     low, high = 0.0, max(1.0, rate)
-    while high < 700 and cap - sum(below(high)) < rate:  # the mean of a count is the sum of P(count > k)
+    while cap - sum(below(high)) < rate and high < 64 * cap + 64:  # the mean of a count is the sum of P(count > k)
         high *= 2
     for _ in range(60):
         mid = (low + high) / 2
@@ -58,9 +59,15 @@ def cut_poisson(rate: float, cap: int) -> list[float]:
     return below(high)
 
 
-def mix_rates(documents: DataFrame, targets: DataFrame) -> DataFrame:
-    """(source, key, max_repeats, size, target_share, rate, capped, below) of each listed source."""
-    sizes = documents.select("doc_id", source_key(F.col("source")).alias("key"), text_size(F.col("text")).alias("size")).dropDuplicates(["doc_id"]).groupBy("key").agg(F.sum("size").alias("size"))
+def sized_documents(documents: DataFrame) -> DataFrame:
+    """(doc_id, key, size), each document once; written, for everything below reads it."""
+    narrow = documents.select("doc_id", source_key(F.col("source")).alias("key"), text_size(F.col("text")).alias("size"))
+    return staged(narrow.filter("doc_id IS NOT NULL").dropDuplicates(["doc_id"]), "document-sizes")
+
+
+def mix_rates(sized_docs: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, key, max_repeats, size, target_share, wanted, rate, capped, below) of each listed source."""
+    sizes = sized_docs.groupBy("key").agg(F.sum("size").alias("size"))
     listed = (
         targets.filter(F.col("source").isNotNull())
         .groupBy(source_key(F.col("source")).alias("key"))
@@ -82,7 +89,7 @@ def mix_rates(documents: DataFrame, targets: DataFrame) -> DataFrame:
         .withColumn("capped", F.col("max_repeats") * F.col("size") < F.col("wanted"))
         .withColumn("rate", F.when(F.col("size") > 0, F.least(F.col("wanted") / F.col("size"), F.col("max_repeats").cast("double"))).otherwise(F.lit(0.0)))
     )
-    return rated.select("source", "key", "max_repeats", "size", "target_share", "rate", "capped", below("rate", "max_repeats").alias("below"))
+    return staged(rated.select("source", "key", "max_repeats", "size", "target_share", "wanted", "rate", "capped", below("rate", "max_repeats").alias("below")), "mix-rates")
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -91,39 +98,44 @@ def draw(doc_id: Column, seed: int) -> Column:
     return (digits.cast("double") + 0.5) / float(2**48)
 
 
-def copy_counts(documents: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
-    """(doc_id, key, source, size, copies) of the documents of listed sources. The rates are one row a listed source."""
-    docs = documents.select("doc_id", source_key(F.col("source")).alias("key"), text_size(F.col("text")).alias("size")).dropDuplicates(["doc_id"])
-    drawn = F.when(F.size("below") == 0, F.col("max_repeats")).otherwise(F.size(F.filter("below", lambda p: p < F.col("__u"))))
-    return (
-        docs.join(rates.select("key", F.col("source").alias("listed"), "max_repeats", "below"), "key")
-        .withColumn("__u", draw(F.col("doc_id"), seed))
-        .select("doc_id", "key", F.col("listed").alias("source"), "size", F.when(F.col("size") > 0, drawn).otherwise(F.lit(0)).alias("copies"))
-    )
+def _copies(rates: DataFrame, seed: int) -> tuple[DataFrame, Column]:
+    """The rates to join by key, and the number of copies of a row with doc_id, size and a rate."""
+    some = rates.select("key", F.col("source").alias("listed"), "max_repeats", "below")
+    drawn = F.when(F.size("below") == 0, F.col("max_repeats")).otherwise(F.size(F.filter("below", lambda p: p < draw(F.col("doc_id"), seed))))
+    return F.broadcast(some) if small(some) else some, F.when(F.col("size") > 0, drawn).otherwise(F.lit(0))
+
+
+def copy_counts(sized_docs: DataFrame, rates: DataFrame, seed: int = 17) -> DataFrame:
+    """(doc_id, key, source, size, copies) of the documents of listed sources."""
+    some, copies = _copies(rates, seed)
+    return sized_docs.join(some, "key").select("doc_id", "key", F.col("listed").alias("source"), "size", copies.alias("copies"))
 
 
 def mix_report(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """Target and reached share of each listed source."""
-    rates = mix_rates(documents, targets)
-    got = copy_counts(documents, rates, seed).groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("mixed_size"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"))
-    joined = rates.drop("below").join(got, "key", "left").fillna(0, ["mixed_size", "copies", "most_copies"])
+    """Target and reached share of each listed source, and the fewest copies of any of its documents that has a size."""
+    docs = sized_documents(documents)
+    rates = mix_rates(docs, targets)
+    least = F.min(F.when(F.col("size") > 0, F.col("copies")))
+    got = copy_counts(docs, rates, seed).groupBy("key").agg(F.sum(F.col("size") * F.col("copies")).alias("mixed_size"), F.sum("copies").alias("copies"), F.max("copies").alias("most_copies"), least.alias("least_copies"))
+    joined = staged(rates.drop("below").join(got, "key", "left").fillna(0, ["mixed_size", "copies", "most_copies"]), "mix-report")  # a row a listed source
     mixed = joined.agg(F.sum("mixed_size").alias("mixed_total"))
     return joined.join(F.broadcast(mixed)).withColumn("reached_share", F.when(F.col("mixed_total") > 0, F.col("mixed_size") / F.col("mixed_total")).otherwise(F.lit(0.0))).drop("key", "mixed_total")
 
 
 def mix(documents: DataFrame, targets: DataFrame, seed: int = 17) -> DataFrame:
-    """Every copy of every drawn document, in an order that is random over all sources."""
-    counts = copy_counts(documents, mix_rates(documents, targets), seed).filter("copies > 0")
-    texts = documents.select("doc_id", "text").dropDuplicates(["doc_id"])
-    copies = counts.select("doc_id", "source", "size", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
-    placed = texts.join(copies, "doc_id").withColumn("place", F.xxhash64("doc_id", "copy_no", F.lit(seed)))
-    return placed.orderBy("place", "doc_id", "copy_no")
+    """Every copy of every drawn document, in an order that is random over all sources: (place, doc_id, copy_no, source, size, text)."""
+    some, copies = _copies(mix_rates(sized_documents(documents), targets), seed)
+    rows = documents.filter("doc_id IS NOT NULL").select("doc_id", source_key(F.col("source")).alias("key"), text_size(F.col("text")).alias("size"), "text")
+    each = rows.join(some, "key").withColumn("copies", copies).filter("copies > 0").select("doc_id", F.col("listed").alias("source"), "size", "text", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy_no"))
+    placed = each.withColumn("place", F.xxhash64("doc_id", "copy_no", F.lit(seed)))
+    return placed.repartitionByRange("place").dropDuplicates(["place", "doc_id", "copy_no"]).sortWithinPartitions("place", "doc_id", "copy_no").select("place", "doc_id", "copy_no", "source", "size", "text")
 
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Listed sources that stay below their target even at their cap."""
+    """Listed sources that stay below their target in the mixture though every document with a size has all the copies it may have."""
     report = mix_report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
-    return report.filter(F.col("capped") & (F.col("most_copies") <= F.col("max_repeats"))).select("source")
+    at_cap = F.coalesce(F.col("least_copies") >= F.col("max_repeats"), F.lit(True))  # a source without documents has nothing more to give
+    return report.filter(at_cap & (F.col("mixed_size") < F.col("wanted"))).select("source")
 
 
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,7 +146,7 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mixture itself."""
-    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+    return mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets")).drop("place")
 
 
 SQL = {

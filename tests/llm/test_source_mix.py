@@ -1,12 +1,12 @@
 import pytest
 
-from foliant.llm.source_mix import copy_counts, cut_poisson, mix, mix_rates, mix_report
+from foliant.llm.source_mix import copy_counts, cut_poisson, mix, mix_rates, mix_report, sized_documents
 
 
-@pytest.mark.parametrize("rate,cap", [(0.3, 1), (0.9, 1), (1.7, 4), (3.9, 4), (0.0, 3)])
+@pytest.mark.parametrize("rate,cap", [(0.3, 1), (0.9, 1), (1.7, 4), (3.9, 4), (0.0, 3), (800.0, 1000)])
 def test_cut_distribution_keeps_its_mean(rate, cap):
     below = cut_poisson(rate, cap)
-    assert abs(cap - sum(below) - rate) < 1e-3
+    assert abs(cap - sum(below) - rate) < 1e-3 * max(1, rate)
 
 
 def tables(spark):
@@ -28,8 +28,10 @@ def test_shares_are_met_or_capped(spark):
 
 def test_draws_repeat_and_copies_come_out(spark):
     docs, targets = tables(spark)
-    rates = mix_rates(docs, targets)
-    one, two = (sorted(map(tuple, copy_counts(docs, rates).select("doc_id", "copies").collect())) for _ in range(2))
+    sized = sized_documents(docs)
+    rates = mix_rates(sized, targets)
+    one, two = (sorted(map(tuple, copy_counts(sized, rates).select("doc_id", "copies").collect())) for _ in range(2))
     assert one == two and len(one) == len({d for d, _ in one})
-    assert mix(docs, targets).count() == sum(c for _, c in one)
+    mixed = mix(docs, targets).collect()
+    assert len(mixed) == sum(c for _, c in one) and [r["place"] for r in mixed] == sorted(r["place"] for r in mixed)
     assert mix(docs.limit(0), targets).count() == 0 and mix_report(docs, targets.limit(0)).count() == 0
