@@ -231,42 +231,35 @@ def near_duplicates(df: DataFrame, key: str, text: str, q: int = Q, least: int =
     seeds = staged(_seeds(sketched, budget), "near-duplicate-seeds")
     wanted = seeds.select(F.explode(F.array("a", "b")).alias("k")).distinct()
     wanted = F.broadcast(wanted) if small(seeds, MOST_SENT) else wanted
-    there = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
-    full = staged(there.select("h", "k", _gram_sets(q)("t").alias("g")), "near-duplicate-sets")  # once for each text, not for each of its pairs
-    a, b = full.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("g").alias("ga")), full.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("g").alias("gb"))
-    links = seeds.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), _alike()("ga", "gb").alias("similarity")).filter(F.col("similarity") >= similarity)
-    return classes, staged(links, "near-duplicate-links")
+    full = normal.withColumn("k", F.xxhash64("h")).join(wanted, "k", "left_semi").groupBy("h").agg(F.first("k").alias("k"), F.first("t").alias("t"))
+    a, b = full.select(F.col("k").alias("a"), F.col("h").alias("ha"), F.col("t").alias("ta")), full.select(F.col("k").alias("b"), F.col("h").alias("hb"), F.col("t").alias("tb"))
+    links = seeds.join(a, "a").join(b, "b").select(F.col("ha").alias("a"), F.col("hb").alias("b"), _alike(q)("ta", "tb").alias("similarity")).filter(F.col("similarity") >= similarity)
+    return classes, links
 
 
-def _gram_sets(q: int):
-    """A column function: the sorted hashes of a text's substrings of q code points, 8 bytes each. With 64 bits no two
-    substrings of a pair of texts share one but once in some 10^12 pairs."""
+def _alike(q: int):
+    """A column function: intersection over union of the sets of substrings of q code points of two texts. A text's set is
+    made once a batch, as sorted 64-bit hashes; two different substrings of a pair of texts share one but once in some
+    10^13 pairs."""
 
-    @F.pandas_udf("binary")
-    def run(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            cp = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-            gram = np.zeros(len(cp) - q + 1, np.uint64)
-            with np.errstate(over="ignore"):
-                for j in range(q):
-                    gram = _mixed(gram * np.uint64(0x100000001B3) + cp[j : j + len(gram)] + np.uint64(1))
-            out.append(np.unique(gram).tobytes())
-        return pd.Series(out)
-
-    return run
-
-
-def _alike():
-    """A column function: intersection over union of two sorted sets."""
+    def grams(text: str) -> np.ndarray:
+        cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        gram = np.zeros(len(cp) - q + 1, np.uint64)
+        with np.errstate(over="ignore"):
+            for j in range(q):
+                gram = _mixed(gram * np.uint64(0x100000001B3) + cp[j : j + len(gram)] + np.uint64(1))
+        return np.unique(gram)
 
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        made: dict[str, np.ndarray] = {}
         out = []
         for s, t in zip(x, y):
-            m, n = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            at = np.minimum(np.searchsorted(n, m), len(n) - 1)
-            both = int((n[at] == m).sum())
+            for text in (s, t):
+                if text not in made:
+                    made[text] = grams(text)
+            m, n = made[s], made[t]
+            both = int((n[np.minimum(np.searchsorted(n, m), len(n) - 1)] == m).sum())
             out.append(both / (len(m) + len(n) - both))
         return pd.Series(out)
 
