@@ -1,11 +1,14 @@
 """Block-level transforms: reading order, merging, headings, paragraphs.
 
-All are windows within one document. A document is bounded; documents are spread by hash, so no task gets more than
-some documents.
+All are windows within one document, spread by hash: a task sorts the blocks of its documents, and spills. A document that
+has a third of all blocks is one task's.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,24 +61,61 @@ def merged(blocks: DataFrame) -> DataFrame:
 REFERENCES = ("references", "bibliography", "参考文献")
 
 
+def line_levels(lines: list[str]) -> list[tuple[int, str | None, bool]]:
+    """(level, title, whether it is code) of each line: level 1 to 6 where a heading begins. A fence is closed by one of
+    its own character and at least its length; underlined paragraphs of several lines are one heading."""
+    out: list[tuple[int, str | None, bool]] = []
+    fence, paragraph = "", []  # the open fence; the lines of the open paragraph
+    for i, line in enumerate(lines):
+        mark = re.match(r" {0,3}(`{3,}|~{3,})(.*)$", line)
+        if fence or (mark and not (mark[1][0] == "`" and "`" in mark[2])):
+            if not fence:
+                fence = mark[1]
+            elif mark and mark[1][0] == fence[0] and len(mark[1]) >= len(fence) and not mark[2].strip():
+                fence = ""
+            out.append((0, None, True))
+            paragraph = []
+            continue
+        hashes, under = re.match(r" {0,3}(#{1,6})(?:[ \t]+(.*))?$", line), re.match(r" {0,3}(=+|-+)[ \t]*$", line)
+        out.append((0, None, False))
+        if hashes:
+            out[-1] = (len(hashes[1]), re.sub(r"(^|[ \t]+)#+[ \t]*$", "", hashes[2] or "").strip(), False)
+            paragraph = []
+        elif under and paragraph:
+            out[paragraph[0]] = (1 if under[1][0] == "=" else 2, " ".join(lines[k].strip() for k in paragraph), False)
+            paragraph = []
+        elif not line.strip() or (not paragraph and re.match(r" {0,3}(?:[-*+>] |\d+[.)] )| {4}|\t", line)):
+            paragraph = []
+        elif paragraph or i == 0 or not re.match(r" {0,3}(?:[-*+>] |\d+[.)] )", line):
+            before = out[i - 1] if i else None
+            if paragraph or before is None or not lines[i - 1].strip() or before[0] or before[2]:
+                paragraph.append(i)
+    return out
+
+
+def shown_line(line: Column) -> Column:
+    """Images as their alternative text, a table on one line as its cells."""
+    t = F.regexp_replace(line, r"!\[([^\]]*)\]\([^)]*\)", "$1")
+    cells = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, r"(?i)</t[dh]>\s*<t[dh][^>]*>", " | "), r"(?i)</tr>\s*<tr[^>]*>", " | "), r"<[^<>]+>", "")
+    return F.when(t.rlike(r"(?i)^\s*<table"), F.trim(cells)).otherwise(t)
+
+
 def markdown_sections(texts: DataFrame) -> DataFrame:
     """Markdown (doc_id, text) as one block a section: (doc_id, section_no, section, line_start, line_end, text).
 
-    Lines are rows; fences, headings and the path of open headings are windows over the lines of a document. Headings
-    inside fences are text, an underlined line is a heading, reference sections are left out, and blank edge lines are
-    trimmed. Null and blank texts have no block.
+    Lines are rows; the path of open headings is a window over the lines of a document; what a line is takes a small
+    helper over the text. Headings inside fences are text, an underlined paragraph is a heading, reference sections are
+    left out, images show their alternative text, and blank edge lines are trimmed. Null and blank texts have no block.
     """
-    lines = texts.filter(F.col("text").rlike(r"\S")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line"))
+
+    @F.pandas_udf("array<struct<level:int,title:string,code:boolean>>")
+    def levels(sources: pd.Series) -> pd.Series:
+        return pd.Series([[{"level": n, "title": t, "code": c} for n, t, c in line_levels(s.split("\n"))] for s in sources])
+
+    cut = texts.filter(F.col("text").rlike(r"\S")).select("doc_id", F.split("text", "\n").alias("l"), levels("text").alias("k"))
+    lines = cut.select("doc_id", F.posexplode(F.arrays_zip("l", "k")).alias("i", "z")).select("doc_id", "i", F.col("z.l").alias("line"), "z.k.*")
     order = Window.partitionBy("doc_id").orderBy("i")
-    fence = F.col("line").rlike(r"^ {0,3}(?:`{3,}|~{3,})")
-    lines = lines.withColumn("fence", fence).withColumn("inside", (F.sum(F.col("fence").cast("int")).over(order) % 2 == 1) | F.col("fence"))
-    after, before = F.lead("line").over(order), F.lag("line").over(order)
-    hashes = F.length(F.regexp_extract("line", r"^ {0,3}(#{1,6})(?:[ \t]|$)", 1))
-    under = F.when(after.rlike(r"^ {0,3}=+[ \t]*$"), 1).when(after.rlike(r"^ {0,3}-+[ \t]*$"), 2).otherwise(0)
-    plain = F.col("line").rlike(r"\S") & ~F.col("line").rlike(r"^ {0,3}(?:[-*+>] |\d+[.)] )") & (before.isNull() | ~before.rlike(r"\S"))
-    level = F.when(F.col("inside"), 0).when(hashes > 0, hashes).when(plain, under).otherwise(0)
-    title = F.trim(F.regexp_replace(F.regexp_replace("line", r"^ {0,3}#{1,6}[ \t]*", ""), r"[ \t]+#+[ \t]*$", ""))
-    x = lines.withColumn("level", level).withColumn("title", F.when(level > 0, title))
+    x = lines.withColumn("line", F.when(F.col("code"), F.col("line")).otherwise(shown_line(F.col("line"))))
     # The open heading of level n is the last one of that level, unless a higher one came after it.
     for n in range(1, 7):
         last = F.last(F.when(F.col("level") == n, F.struct(F.col("i").alias("at"), F.col("title").alias("t"))), ignorenulls=True).over(order)

@@ -80,3 +80,26 @@ def allowed(links: DataFrame, items: DataFrame, year_from: int | None = None, ye
     if library is not None:
         x = x.filter((F.col("library_type") == library[0]) & (F.col("library_id") == library[1]))
     return links.join(x.select("item_key"), "item_key", "left_semi").select("document").distinct()
+
+
+def relinked(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Links (document, item_key, how, locked): a new link replaces the old one, unless only the old one is locked."""
+    o, n = (df.select("document", F.struct("item_key", "how", F.coalesce("locked", F.lit(False)).alias("locked")).alias(c)) for df, c in ((old, "o"), (new, "n")))
+    keep = F.col("n").isNull() | (F.col("o").isNotNull() & F.col("o.locked") & ~F.col("n.locked"))
+    return o.join(n, "document", "full_outer").select("document", F.when(keep, F.col("o")).otherwise(F.col("n")).alias("l")).select("document", "l.*")
+
+
+def matched(files: DataFrame, items: DataFrame, places: DataFrame, explicit: DataFrame, old: DataFrame) -> DataFrame:
+    """(document, item_key, how, locked): a document's own reference (document, item_key) first, then its locked link, then
+    attachments, then DOIs. Old links that nothing supports any more are gone unless locked."""
+    live = items.select("item_key").distinct()
+    own = explicit.join(live, "item_key", "left_semi").select("document", "item_key", F.lit("reference").alias("how"), F.lit(False).alias("locked"), F.lit(0).alias("place"))
+    kept = old.filter("locked").select("document", "item_key", "how", "locked", F.lit(1).alias("place"))
+    found = linked(files, items, places).select("document", "item_key", "how", F.lit(False).alias("locked"), F.lit(2).alias("place"))
+    every = own.unionByName(kept).unionByName(found)
+    return every.groupBy("document").agg(F.min(F.struct("place", "item_key", "how", "locked")).alias("l")).select("document", "l.item_key", "l.how", "l.locked")
+
+
+def converted_from(path: Column) -> Column:
+    """The source file's name in a converter's folder name, `name.pdf-<uuid>`; the deepest such folder counts."""
+    return F.nullif(F.regexp_extract(path, r"^.*/([^/]+?)-[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?:/|$)", 1), F.lit(""))

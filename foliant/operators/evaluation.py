@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 
 def suffix_on_boundary(path: Column, suffix: Column) -> Column:
-    return (path == suffix) | F.endswith(path, F.concat(F.lit("/"), F.ltrim(F.lit("/"), suffix)))
+    return (path == suffix) | F.endswith(path, F.concat(F.lit("/"), F.ltrim(suffix, F.lit("/"))))
 
 
 def scored(labels: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -33,3 +33,29 @@ def cost(calls: Column, tokens: Column, per_million: float | None) -> Column:
     if per_million is None:
         return F.when(calls > 0, F.lit(None).cast("double")).otherwise(F.lit(0.0))
     return F.round(tokens / 1e6 * per_million, 6)
+
+
+def label_hits(hits: DataFrame, labels: DataFrame) -> DataFrame:
+    """hits (query_id, rank, path, content, section), labels (query_id, label_no, pathSuffix, contains, section; one row for
+    each of a label's alternatives) -> (query_id, label_no, rank) of each label's first hit. Parts of a label that are null
+    aren't asked; a path suffix ends at a folder's boundary; texts compare by case."""
+    named = labels.select("query_id", "label_no", F.col("pathSuffix").alias("s"), F.col("contains").alias("c"), F.col("section").alias("sec"))
+    asks = lambda c, met: F.col(c).isNull() | F.coalesce(met, F.lit(False))
+    good = asks("s", suffix_on_boundary(F.col("path"), F.col("s"))) & asks("c", F.contains(F.col("content"), F.col("c"))) & asks("sec", F.col("section") == F.col("sec"))
+    some = F.coalesce("s", "c", "sec").isNotNull()
+    return hits.join(named.filter(some), "query_id").filter(good).groupBy("query_id", "label_no").agg(F.min("rank").alias("rank"))
+
+
+def recall_of_labels(labels: DataFrame, met: DataFrame, k: int) -> DataFrame:
+    """(query_id, labels, found, recall, rr) of labels and their first hits; failed queries count 0."""
+    n = labels.groupBy("query_id").agg(F.count_distinct("label_no").alias("labels"))
+    got = met.filter(F.col("rank") <= k).groupBy("query_id").agg(F.count_distinct("label_no").alias("found"), F.min("rank").alias("best"))
+    x = n.join(got, "query_id", "left").withColumn("found", F.coalesce("found", F.lit(0)))
+    return x.select("query_id", "labels", "found", F.round(F.col("found") / F.col("labels"), 6).alias("recall"), F.round(F.coalesce(1 / F.col("best"), F.lit(0.0)), 6).alias("rr"))
+
+
+def changes(before: DataFrame, after: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Where two reports (keys, values) differ by more than rounding: (keys, value, before, after)."""
+    flat = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias(name)) for v in values])).alias("x")).select(*keys, "x.value", f"x.{name}")
+    both = flat(before, "before").join(flat(after, "after"), [*keys, "value"], "full_outer")
+    return both.filter(~F.col("before").eqNullSafe(F.col("after")) & ~F.coalesce(F.abs(F.col("before") - F.col("after")) <= 1e-9, F.lit(False)))

@@ -1,8 +1,8 @@
 """Documents in several formats as blocks (text, section, page, kind).
 
 JSON formats are parsed by Spark itself. HTML, TEI, JATS and DOCX go through small event readers over the standard
-library, a document a row in Arrow batches. A document that can't be parsed keeps its row with an `error` and no
-blocks, so one bad file doesn't end a job. Null and blank documents have no block.
+library, a document a row in Arrow batches. A document that can't be parsed has an `error` and no blocks, so one bad file
+doesn't end a job: `parsed` gives the blocks, and `failures` the rows to set aside. Null and blank documents have no block.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from __future__ import annotations
 import io
 import re
 import zipfile
+from html.entities import html5
 from html.parser import HTMLParser
 from xml.etree import ElementTree
 
@@ -17,15 +18,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "struct<blocks:array<struct<text:string,section:string>>,error:string>"
+BLOCKS = "struct<blocks:array<struct<text:string,section:string,page_start:int,page_end:int>>,error:string>"
 PAGED = "struct<version:int,blocks:array<struct<text:string,section:string,pageStart:int,pageEnd:int,kind:string>>>"
 LISTED = "array<struct<type:string,text:string,text_level:int,page_idx:int>>"
 
-# Elements whose content isn't shown; elements that are a block each; elements that end a block.
+# Elements whose content isn't shown; that are a block each; that end a block; without content; whose end tag may be left out; that are no text.
 HIDDEN = {"head", "script", "style", "nav", "footer", "aside", "form", "button", "noscript", "svg", "math", "template"}
 LEAVES = {"p", "li", "pre", "blockquote", "dt", "dd", "td", "th", "figcaption"}
 BREAKS = LEAVES | {"div", "section", "article", "main", "body", "ul", "ol", "dl", "table", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "br", "hr"}
 VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "col", "area", "base", "embed", "source", "track"}
+CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td", "th", "tr"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SKIPPED = {"ref-list", "ack", "fn-group", "listBibl", "figure", "formula", "table", "note", "table-wrap", "fig", "disp-formula"}
 
 
@@ -49,12 +51,12 @@ class Headings:
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.parts: list[tuple[int, str | None, str]] = []  # (rank of the root, section, text)
+        self.parts: list[tuple[tuple[int, int], str | None, str]] = []  # (rank and number of the root, section, text)
         self.headings, self.held, self.stack, self.hidden, self.level, self.title = Headings(), "", [], 0, 0, ""
-        self.roots = {"main": 0, "article": 0}
+        self.roots, self.met = {"main": 0, "article": 0}, {"main": 0, "article": 0}
 
-    def rank(self) -> int:
-        return 2 if self.roots["main"] else 1 if self.roots["article"] else 0
+    def rank(self) -> tuple[int, int]:
+        return (2, self.met["main"]) if self.roots["main"] else (1, self.met["article"]) if self.roots["article"] else (0, 0)
 
     def flush(self) -> None:
         kept = self.held.strip("\n") if "pre" in self.stack else _squeezed(self.held)
@@ -64,6 +66,8 @@ class _Page(HTMLParser):
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         a = dict(attrs)
+        if self.stack and ((self.stack[-1] == "p" and tag in BREAKS and tag != "br") or self.stack[-1] in CLOSED_BY.get(tag, ())):
+            self.handle_endtag(self.stack[-1])  # an end tag that may be left out
         if self.hidden or tag in HIDDEN or "hidden" in a or a.get("aria-hidden") == "true":
             if tag not in VOID:
                 self.flush() if not self.hidden and tag in BREAKS | HIDDEN else None
@@ -77,6 +81,7 @@ class _Page(HTMLParser):
         if re.fullmatch(r"h[1-6]", tag):
             self.level, self.title = int(tag[1]), ""
         if tag in self.roots:
+            self.met[tag] += not self.roots[tag]
             self.roots[tag] += 1
         if tag not in VOID:
             self.stack.append(tag)
@@ -114,61 +119,124 @@ def html_blocks(source: str) -> list[tuple[str, str | None]]:
     page.feed(source)
     page.close()
     page.flush()
-    best = max((r for r, _, _ in page.parts), default=0)
-    return [(t, s) for r, s, t in page.parts if r == best]
+    kind = max((r[0] for r, _, _ in page.parts), default=0)
+    first = min((r for r, _, _ in page.parts if r[0] == kind), default=(0, 0))
+    return [(t, s) for r, s, t in page.parts if r == first]
 
 
-def _parsed(source: str) -> ElementTree.Element:
-    if "<!ENTITY" in source or "<!DOCTYPE" in source:
+def _parsed(source: str, doctype: bool = False) -> ElementTree.Element:
+    """The root; named characters are those of HTML. A document type is dropped where the format has one, entities of its own are refused."""
+    if "<!ENTITY" in source or ("<!DOCTYPE" in source and not doctype):
         raise ValueError("document types and entities aren't allowed")
-    return ElementTree.fromstring(source)
+    source = re.sub(r"<!DOCTYPE[^\[>]*(?:\[[^\]]*\]\s*)?>", "", source)
+    known = {"amp", "lt", "gt", "quot", "apos"}
+    source = re.sub(r"&([A-Za-z][A-Za-z0-9]*);", lambda m: m[0] if m[1] in known else html5.get(m[1] + ";", m[0]), source)
+    root = ElementTree.fromstring(source)
+    if sum(1 for _ in root.iter()) > 200_000:
+        raise ValueError("too many elements")
+    return root
 
 
 def _local(node: ElementTree.Element) -> str:
     return node.tag.rsplit("}", 1)[-1] if isinstance(node.tag, str) else ""
 
 
-def xml_blocks(source: str, heading: str, division: str, paragraph: str = "p") -> list[tuple[str, str | None]]:
-    """TEI and JATS: abstract first, then divisions with their titles as the section path."""
-    root, out = _parsed(source), []
-
-    def text(node: ElementTree.Element) -> str:
-        return _squeezed("".join(_shown(node)))
-
-    def _shown(node: ElementTree.Element):
-        yield node.text or ""
-        for kid in node:
+def _text(node: ElementTree.Element) -> str:
+    def shown(at: ElementTree.Element):
+        yield at.text or ""
+        for kid in at:
             if _local(kid) not in SKIPPED:
-                yield from _shown(kid)
+                yield from shown(kid)
             yield kid.tail or ""
 
+    return _squeezed("".join(shown(node)))
+
+
+def coordinate_pages(coords: str | None) -> tuple[int | None, int | None]:
+    """First and last page of `page,x,y,w,h;…`; a malformed box is an error."""
+    if not coords:
+        return None, None
+    pages = []
+    for box in coords.strip().rstrip(";").split(";"):
+        parts = box.split(",")
+        if len(parts) != 5 or not parts[0].strip().isdigit() or int(parts[0]) < 1:
+            raise ValueError("malformed coordinates")
+        [float(p) for p in parts[1:]]
+        pages.append(int(parts[0]))
+    return min(pages), max(pages)
+
+
+Block = tuple[str, str | None, int | None, int | None]
+
+
+def _walked(root: ElementTree.Element, heading: str, division: str, path: tuple[str, ...] = (), joins: bool = False) -> list[Block]:
+    """The paragraphs below a node, with the titles of their divisions; with `joins`, neighbours of one division and page are one block."""
+    out: list[Block] = []
+
     def walk(node: ElementTree.Element, path: tuple[str, ...], depth: int) -> None:
         if depth > 128:
             raise ValueError("nested too deeply")
-        here = path
+        here, last = path, False
         for kid in node:
             name = _local(kid)
             if name in SKIPPED or (name == division and kid.get("type") in ("references", "acknowledgement")):
                 continue
             if name == heading:
-                here = (*path, text(kid)) if text(kid) else path
-            elif name == paragraph:
-                if text(kid):
-                    out.append((text(kid), " / ".join(here) or None))
+                here = (*path, _text(kid)) if _text(kid) else path
+            elif name == "p":
+                if t := _text(kid):
+                    pages = coordinate_pages(kid.get("coords")) if joins else (None, None)
+                    if joins and last and out[-1][2:] == pages:
+                        out[-1] = (out[-1][0] + "\n\n" + t, *out[-1][1:])
+                    else:
+                        out.append((t, " / ".join(here) or None, *pages))
+                    last = True
             else:
                 walk(kid, here, depth + 1)
+                last = False
+
+    walk(root, path, 0)
+    return out
 
-    for part in root.iter():
-        if _local(part) == "abstract":
-            walk(part, ("Abstract",), 0)
-    for part in root.iter():
-        if _local(part) == "body":
-            walk(part, (), 0)
+
+def tei_blocks(source: str) -> list[Block]:
+    """The abstract, the body, and appendices; pages by coordinates. Without a paragraph in the body it is an error."""
+    root = _parsed(source)
+    if root.tag != "{http://www.tei-c.org/ns/1.0}TEI":
+        raise ValueError("no TEI document")
+    find = lambda name: [n for n in root.iter() if _local(n) == name]
+    out: list[Block] = []
+    for part in find("abstract"):
+        out += _walked(part, "head", "div", ("Abstract",), True) or ([(_text(part), "Abstract", None, None)] if _text(part) else [])
+    body = [b for part in find("body") for b in _walked(part, "head", "div", (), True)]
+    if not body:
+        raise ValueError("no paragraph")
+    for part in find("back"):
+        for kid in part.iter():
+            if _local(kid) == "div" and kid.get("type") in ("appendix", "annex"):
+                body += _walked(kid, "head", "div", (), True)
+    return out + body
+
+
+def jats_blocks(source: str) -> list[Block]:
+    """The abstract and the sections of the body."""
+    root = _parsed(source, doctype=True)
+    if _local(root) != "article":
+        raise ValueError("no article")
+    out = [b for n in root.iter() if _local(n) == "abstract" for b in _walked(n, "title", "sec", ("Abstract",))]
+    out += [b for n in root.iter() if _local(n) == "body" for b in _walked(n, "title", "sec")]
     if not out:
         raise ValueError("no paragraph")
     return out
 
 
+def plain_blocks(source: str) -> list[Block]:
+    """The whole text as one block."""
+    if "\x00" in source:
+        raise ValueError("no text")
+    return [(source, None, None, None)] if source.strip() else []
+
+
 def docx_blocks(source: bytes) -> list[tuple[str, str | None]]:
     """Paragraphs; headings by their outline level are blocks too. Deleted, hidden and drawn runs are left out."""
     with zipfile.ZipFile(io.BytesIO(source)) as z:
@@ -188,10 +256,15 @@ def docx_blocks(source: bytes) -> list[tuple[str, str | None]]:
         level, text = 0, []
         for style in p.iter():
             if _local(style) == "pStyle":
-                level = levels.get(next(iter(style.attrib.values())), 0)
+                name = next(iter(style.attrib.values()))
+                built_in = re.fullmatch(r"[Hh]eading ?([1-6])", name)
+                level = levels.get(name, int(built_in[1]) if built_in else 0)
+        for own in p.iter():
+            if _local(own) == "outlineLvl" and (n := int(next(iter(own.attrib.values())))) < 6:
+                level = n + 1
         gone = {id(t) for d in p.iter() if _local(d) in ("del", "drawing", "instrText") for t in d.iter()}
         for run in p.iter():
-            if _local(run) == "r" and id(run) not in gone and not any(_local(v) == "vanish" for v in run.iter()):
+            if _local(run) == "r" and id(run) not in gone and not any(_local(v) == "vanish" and next(iter(v.attrib.values()), "true") not in ("false", "0", "off") for v in run.iter()):
                 text += [t.text or "" for t in run.iter() if _local(t) == "t" and id(t) not in gone]
         words = _squeezed("".join(text))
         if words and level:
@@ -203,9 +276,10 @@ def docx_blocks(source: bytes) -> list[tuple[str, str | None]]:
 
 READERS = {
     "html": html_blocks,
-    "grobid-tei": lambda s: xml_blocks(s, "head", "div"),
-    "jats": lambda s: xml_blocks(s, "title", "sec"),
+    "grobid-tei": tei_blocks,
+    "jats": jats_blocks,
     "docx": docx_blocks,
+    "text": plain_blocks,
 }
 
 
@@ -218,7 +292,8 @@ def reader(name: str):
         rows = []
         for s in sources:
             try:
-                rows.append({"blocks": [{"text": t, "section": c} for t, c in (read(s) if s else [])], "error": None})
+                got = [(*b, None, None)[:4] for b in (read(s) if s else [])]
+                rows.append({"blocks": [{"text": t, "section": c, "page_start": a, "page_end": z} for t, c, a, z in got], "error": None})
             except Exception as e:  # noqa: BLE001 - a bad document is a row, not a failed job
                 rows.append({"blocks": [], "error": f"{type(e).__name__}: {e}"[:200]})
         return pd.DataFrame(rows, columns=["blocks", "error"])
@@ -227,8 +302,13 @@ def reader(name: str):
 
 
 def parsed(df: DataFrame, key: str, source: str, name: str) -> DataFrame:
-    """(key, block_ord, text, section) of one format."""
-    return df.withColumn("__b", reader(name)(F.col(source))).select(key, F.posexplode("__b.blocks").alias("block_ord", "b")).select(key, "block_ord", "b.text", "b.section")
+    """(key, block_ord, text, section, page_start, page_end) of one format."""
+    return df.withColumn("__b", reader(name)(F.col(source))).select(key, F.posexplode("__b.blocks").alias("block_ord", "b")).select(key, "block_ord", "b.*")
+
+
+def failures(df: DataFrame, key: str, source: str, name: str) -> DataFrame:
+    """(key, error) of the documents that couldn't be parsed."""
+    return df.select(key, reader(name)(F.col(source))["error"].alias("error")).filter("error IS NOT NULL")
 
 
 def paged_blocks(source: Column) -> Column:

@@ -76,16 +76,33 @@ def embedding(provider: Embedder, batch: int = 64, tries: int = 3, wait: Callabl
     return run
 
 
-def reranked(candidates: DataFrame, score: Callable[[str, list[str]], list[float]], k: int) -> DataFrame:
-    """candidates (query_id, query, row_id, text), at most some hundred a query -> (query_id, row_id, rerank, rank)."""
-
-    @F.pandas_udf("double")
-    def run(queries: pd.Series, texts: pd.Series) -> pd.Series:
-        out = [score(q, [t])[0] for q, t in zip(queries, texts)]
-        if not np.isfinite(out).all():
-            raise ValueError("the reranker returned a score that isn't finite")
+def reranked(candidates: DataFrame, score: Callable[[str, list[str]], list[float]], k: int, most: int = 200) -> DataFrame:
+    """candidates (query_id, query, row_id, text, rank) -> (query_id, row_id, rerank, rank): one call of the provider a query.
+
+    At most `most` candidates of a query are sent, the best by rank, which is the feature. A query whose call stays
+    Transient keeps its order, with null scores. Scores must be finite, one for each text; ties go by row id.
+    """
+    if not 1 <= k <= most:
+        raise ValueError(f"k must be within 1 and {most}")
+    first = candidates.withColumn("__n", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "row_id"))).filter(F.col("__n") <= most)
+    one = F.sort_array(F.collect_list(F.struct("__n", "row_id", "text")))  # at most `most`
+    asked = first.groupBy("query_id").agg(F.first("query").alias("query"), one.alias("c"))
+
+    @F.pandas_udf("array<double>")
+    def run(queries: pd.Series, listed: pd.Series) -> pd.Series:
+        out = []
+        for q, c in zip(queries, listed):
+            try:
+                got = [float(x) for x in score(q, [x["text"] for x in c])]
+            except Transient:
+                out.append(None)
+                continue
+            if len(got) != len(c) or not np.isfinite(got).all():
+                raise ValueError("the reranker returned another number of scores, or one that isn't finite")
+            out.append(got)
         return pd.Series(out)
 
-    by = Window.partitionBy("query_id").orderBy(F.col("rerank").desc(), "row_id")
-    x = candidates.select("query_id", "row_id", run("query", "text").alias("rerank"))
-    return x.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
+    scored = asked.withColumn("s", run("query", "c")).select("query_id", F.posexplode("c").alias("at", "c"), "s")
+    x = scored.select("query_id", F.col("c.row_id").alias("row_id"), F.get("s", F.col("at")).alias("rerank"), "at")
+    by = Window.partitionBy("query_id").orderBy(F.col("rerank").desc_nulls_last(), F.when(F.col("rerank").isNull(), F.col("at")), "row_id")
+    return x.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k).drop("at")

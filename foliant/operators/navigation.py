@@ -38,19 +38,43 @@ def around(passages: DataFrame, centers: DataFrame, reach: int = 2) -> DataFrame
 
 
 def pages(passages: DataFrame, low: int, high: int) -> DataFrame:
-    """From the first to the last passage that overlaps the pages; the range has no gaps."""
-    hit = F.col("page_start").isNotNull() & F.col("page_end").isNotNull() & (F.col("page_start") <= high) & (F.col("page_end") >= low)
-    w = Window.partitionBy("doc")
-    x = passages.withColumn("first", F.min(F.when(hit, F.col("idx"))).over(w)).withColumn("last", F.max(F.when(hit, F.col("idx"))).over(w))
-    return x.filter(F.col("idx").between(F.col("first"), F.col("last"))).drop("first", "last")
+    """From the first to the last passage that overlaps the pages; the range has no gaps. Two numbers a document, aggregated before the shuffle, and a join."""
+    if not 1 <= low <= high:
+        raise ValueError("pages go from 1 on, in order")
+    hit = passages.filter((F.col("page_start") <= high) & (F.col("page_end") >= low))
+    ends = hit.groupBy("doc").agg(F.min("idx").alias("first"), F.max("idx").alias("last"))
+    return passages.join(ends, "doc").filter(F.col("idx").between(F.col("first"), F.col("last"))).drop("first", "last")
+
+
+def page_range(text: Column) -> Column:
+    """`8` or `8-9` as (low, high); null where it is neither or out of order."""
+    low, high = F.regexp_extract(text, r"^\s*(\d{1,6})\s*(?:-\s*\d{1,6}\s*)?$", 1), F.regexp_extract(text, r"^\s*\d{1,6}\s*-\s*(\d{1,6})\s*$", 1)
+    a, b = F.nullif(low, F.lit("")).cast("int"), F.coalesce(F.nullif(high, F.lit("")).cast("int"), F.nullif(low, F.lit("")).cast("int"))
+    return F.when((a >= 1) & (b >= a), F.struct(a.alias("low"), b.alias("high")))
+
+
+def between(passages: DataFrame, first: int | None = None, last: int | None = None, pages_of: tuple[int, int] | None = None) -> DataFrame:
+    """A range of passages by number, or by pages; not both."""
+    if pages_of is not None and (first is not None or last is not None):
+        raise ValueError("a range is by passages or by pages")
+    if pages_of is not None:
+        return pages(passages, *pages_of)
+    if first is not None and last is not None and last < first:
+        raise ValueError("the range is out of order")
+    return passages.filter((F.col("idx") >= (first or 0)) & (F.lit(last is None) | (F.col("idx") <= (last if last is not None else 0))))
 
 
 def budget(passages: DataFrame, most: int = 4000) -> DataFrame:
-    """Passages from the first on while their tokens fit; the first always; `next`: where to go on, `shown`: the section where it changes."""
+    """Passages from the first on while their tokens fit; the first always; `next`: where to go on, `shown`: the section where it changes.
+
+    A passage has a token at least, so no more than `most` + 1 passages of a document matter; each task cuts to those
+    before anything is shuffled, and the windows run over them only.
+    """
     if not 1 <= most <= 16_000:
         raise ValueError("the budget must be within 1 and 16000")
     w = Window.partitionBy("doc")
-    x = passages.withColumn("upto", F.sum("tokens").over(_order().rowsBetween(Window.unboundedPreceding, 0))).withColumn("rn", F.row_number().over(_order()))
+    x = passages.withColumn("rn", F.row_number().over(_order())).filter(F.col("rn") <= most + 1)
+    x = x.withColumn("upto", F.sum(F.greatest("tokens", F.lit(1))).over(_order().rowsBetween(Window.unboundedPreceding, 0)))
     x = x.withColumn("fits", (F.col("upto") <= most) | (F.col("rn") == 1))
     x = x.withColumn("next", F.min(F.when(~F.col("fits"), F.col("idx"))).over(w)).filter("fits")
     before = F.lag("section").over(_order())

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +58,38 @@ def canonical(paths: DataFrame) -> DataFrame:
     above = x.select("path", "folder", F.explode(ancestors).alias("up")).filter("up <> folder").join(best.select(F.col("folder").alias("up")).distinct(), "up", "left_semi").select("path").distinct()
     plain = x.filter("priority = 0").join(best.select("folder").distinct(), "folder", "left_anti")
     return best.select("path", "folder", "priority").unionByName(plain.select("path", "folder", "priority")).join(above, "path", "left_anti")
+
+
+def signature(snapshot: DataFrame, *columns: str) -> DataFrame:
+    """(rows, signature) of a set of rows, whatever their order: equal snapshots have equal signatures. Map-side sums, one row out."""
+    digest = F.md5(F.concat_ws("\x00", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
+    each = F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
+    x = snapshot.agg(F.count("*").alias("rows"), F.coalesce(F.bit_xor(each), F.lit(0)).alias("x"))
+    return x.select("rows", F.md5(F.concat_ws(":", "rows", "x")).alias("signature"))
+
+
+def content_key(content: Column) -> Column:
+    """The key of a document without a source of its own."""
+    return F.concat(F.lit("content:sha256:"), F.sha2(content, 256))
+
+
+def source_key(digest: Column, content: Column) -> Column:
+    """The key by the source's digest where it is one (SHA-256 or MD5 in hex), else by content."""
+    low = F.lower(F.trim(digest))
+    return F.when(low.rlike("^[0-9a-f]{64}$"), F.concat(F.lit("sha256:"), low)).when(low.rlike("^[0-9a-f]{32}$"), F.concat(F.lit("md5:"), low)).otherwise(content_key(content))
+
+
+def reconciled(index: DataFrame, seen: DataFrame, failures: DataFrame) -> DataFrame:
+    """The index without paths that are gone; none is taken for gone after a scan with failures."""
+    return index.join(seen.select("path").distinct(), "path", "left_semi") if failures.isEmpty() else index
+
+
+def obsolete(index: DataFrame, incoming: DataFrame) -> DataFrame:
+    """(path) of the index that another representation of its package now stands for."""
+    paths = index.select("path").unionByName(incoming.select("path")).distinct()
+    return index.select("path").join(canonical(paths).select("path"), "path", "left_anti")
+
+
+def compatibility(**parts: object) -> str:
+    """What an index was built with (model, dimensions, chunking, parser, root): a different one calls for a rebuild."""
+    return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:12]

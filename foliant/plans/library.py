@@ -87,6 +87,17 @@ def canonical_files(spark: SparkSession, d: str) -> DataFrame:
     return S.canonical(current(spark, d, "files", "path"))
 
 
+def snapshot_signature(spark: SparkSession, d: str) -> DataFrame:
+    """One signature of all current paths and hashes."""
+    return S.signature(current(spark, d, "files", "path", "hash"), "path", "hash")
+
+
+def content_keys(spark: SparkSession, d: str) -> DataFrame:
+    """The key of every document, by content."""
+    docs = table(spark, d, "documents").filter("text IS NOT NULL").select("doc_id", "text").dropDuplicates(["doc_id"])
+    return docs.select("doc_id", S.content_key(F.col("text")).alias("key"))
+
+
 def snapshot_apply(spark: SparkSession, d: str) -> DataFrame:
     """The first states of all items as the catalog, their newest as the snapshot: what happens to each."""
     i = table(spark, d, "zotero_items").filter("item_key IS NOT NULL").select("item_key", "item_version", "content_hash", "deleted")
@@ -196,6 +207,8 @@ QUERIES = {
     "replace_document": replace_document,
     "generation_retention": generation_retention,
     "canonical_files": canonical_files,
+    "snapshot_signature": snapshot_signature,
+    "content_keys": content_keys,
     "snapshot_apply": snapshot_apply,
     "attachment_match": attachment_match,
     "title_candidates": title_candidates,
@@ -291,3 +304,14 @@ SQL |= {
     "eval_cost": f"""SELECT file_format, calls, tokens, CASE WHEN file_format = 'text' THEN NULL ELSE round(tokens / 1e6 * 0.02, 6) END AS cost FROM (SELECT f.file_format, count(*) AS calls, CAST(sum({_est("c.chunk_content")}) AS BIGINT) AS tokens
  FROM {current_sql("chunks", "id", "file_path", "chunk_content")} c LEFT JOIN {current_sql("files", "path", "file_format")} f ON c.file_path = f.path GROUP BY 1)""",
 }
+
+_FOLDER = "regexp_replace(path, '/[^/]*$', '')"
+_NAME = "lower(regexp_extract(path, '([^/]*)$', 1))"
+SQL |= {
+    "snapshot_signature": f"""SELECT n AS rows, md5(concat(n, ':', x)) AS signature FROM (SELECT count(*) AS n, coalesce(bit_xor(CAST('0x' || substr(md5(coalesce(path, '') || chr(0) || coalesce(hash, '')), 1, 15) AS BIGINT)), 0) AS x FROM {current_sql("files", "path", "hash")})""",
+    "content_keys": "SELECT DISTINCT doc_id, 'content:sha256:' || sha256(text) AS key FROM documents WHERE text IS NOT NULL",
+    "canonical_files": f"""WITH x AS (SELECT path, {_FOLDER} AS folder, CASE WHEN regexp_matches({_NAME}, '(\\.mineru\\.json|structured_content\\.json)$') THEN 4 WHEN regexp_matches({_NAME}, 'content_list\\.json$') THEN 3 WHEN regexp_matches({_NAME}, 'middle\\.json$') THEN 2 WHEN regexp_matches({_NAME}, 'content_list_v2\\.json$') THEN 1 ELSE 0 END AS priority FROM {current_sql("files", "path")}),
+best AS (SELECT path, folder, priority FROM (SELECT *, row_number() OVER (PARTITION BY folder ORDER BY priority DESC, path) AS k FROM x WHERE priority > 0) WHERE k = 1),
+chosen AS (SELECT * FROM best UNION ALL SELECT path, folder, priority FROM x WHERE priority = 0 AND folder NOT IN (SELECT folder FROM best))
+SELECT path, folder, priority FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE starts_with(c.folder, b.folder || '/'))""",
+}

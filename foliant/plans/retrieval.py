@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,8 @@ from foliant.functions.text import heading, token_estimate
 from foliant.operators.fusion import boosted, first_word, fused
 from foliant.operators.lexical import bm25, documents_of, top
 from foliant.operators.literal import containing
-from foliant.operators.vectors import knn
+from foliant.operators.retrieve import Options, described, retrieve
+from foliant.operators.vectors import knn, usable
 from foliant.plans.views import current, current_sql
 from foliant.sources.tables import staged, table
 
@@ -151,12 +154,68 @@ def hybrid_alpha_sweep(spark: SparkSession, d: str) -> DataFrame:
 def bm25_fallback(spark: SparkSession, d: str) -> DataFrame:
     """Queries whose vector can't be used fall back to the lexical list alone: method and number of hits."""
     v = table(spark, d, "chunk_vectors").dropDuplicates(["vec_id"]).join(current(spark, d, "chunks", "id", "chunk_content").withColumnRenamed("id", "chunk_id"), "chunk_id")
-    from foliant.operators.vectors import usable
-
     asked = v.select(F.col("vec_id").alias("query_id"), F.when(usable(F.col("embedding"), DIM), "hybrid").otherwise("bm25-fallback").alias("method"))
     return asked.groupBy("method").agg(F.count("*").alias("queries"), F.min("query_id").alias("first"))
 
 
+def _library(spark: SparkSession, d: str) -> DataFrame:
+    """The index of the chunks that have a vector: (row_id, content, rel, heading, v)."""
+    v = _vectors(spark, d)
+    c = _chunks(spark, d).withColumnRenamed("row_id", "chunk_id")
+    return staged(v.join(c, "chunk_id").select("row_id", "content", "rel", "heading", "v"), "library")
+
+
+def _asked_of(library: DataFrame) -> DataFrame:
+    """The query set: every vector whose id is divisible by 100, with the first eight words of its chunk."""
+    words = F.array_join(F.slice(F.split("content", r"\s+"), 1, 8), " ")
+    return library.filter(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("query_id"), words.alias("query"), "v")
+
+
+def hybrid_query(spark: SparkSession, d: str) -> DataFrame:
+    """Whole retrieval of the query set: both analyzers, boost, gate, fusion, and the lexical fallback where a vector can't be used."""
+    index = _library(spark, d)
+    out = retrieve(index, _asked_of(index), Options(top_k=K, alpha=ALPHA), DIM)
+    return out.select("query_id", "row_id", "rank", "method", F.round("hybrid", 3).alias("hybrid"))
+
+
+def fallback_query(spark: SparkSession, d: str) -> DataFrame:
+    """The hits of the queries without a usable vector: by the lexical list alone."""
+    index = _library(spark, d)
+    asked = _asked_of(index).filter(~F.coalesce(usable(F.col("v"), DIM), F.lit(False)))
+    return retrieve(index, asked, Options(top_k=K, alpha=ALPHA), DIM).select("query_id", "row_id", "rank", "method", F.round("hybrid", 3).alias("hybrid"))
+
+
+def shared_words(query: str, texts: list[str]) -> list[float]:
+    """A stand-in for a reranking model: the share of the query's words that a text has."""
+    words = set(re.findall(r"\w+", query.lower()))
+    return [len(words & set(re.findall(r"\w+", t.lower()))) / max(1, len(words)) for t in texts]
+
+
+def rerank_query(spark: SparkSession, d: str) -> DataFrame:
+    """Hybrid candidates of the query set, ranked anew by a provider, one call a query."""
+    index = _library(spark, d)
+    out = retrieve(index, _asked_of(index), Options(top_k=K, candidates=30, alpha=ALPHA, rerank=True), DIM, shared_words)
+    return out.select("query_id", "row_id", "rank", "method", F.round("rerank", 4).alias("rerank"))
+
+
+def literal_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Chunks that hold the first 60 characters, white space left out, of the query set's chunks, by path and place, the first ten of each."""
+    from pyspark.sql import Window
+
+    c = current(spark, d, "chunks", "id", "file_path", "chunk_content", "chunk_index")
+    v = _vectors(spark, d).filter(F.col("row_id") % 100 == 0).select(F.col("row_id").alias("query_id"), F.col("chunk_id").alias("id"))
+    asked = v.join(c, "id").select("query_id", F.substring(F.translate("chunk_content", " \n\t\r", ""), 1, 60).alias("pattern"))
+    met = containing(c.select(F.col("id").alias("row_id"), F.col("chunk_content").alias("text")), asked)
+    by = Window.partitionBy("query_id").orderBy("file_path", "chunk_index", "row_id")
+    return met.join(c.select(F.col("id").alias("row_id"), "file_path", "chunk_index"), "row_id").withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= K).select("query_id", "row_id", "rank")
+
+
+def hit_documents(spark: SparkSession, d: str) -> DataFrame:
+    """The documents of all lexical hits, each once, with version and number of hits."""
+    hits = bm25_topk(spark, d).join(current(spark, d, "chunks", "id", "file_path").select(F.col("id").alias("row_id"), F.col("file_path").alias("path")), "row_id")
+    return described(hits, current(spark, d, "files", "path", "document_id", "title", "hash"))
+
+
 def rerank_overlap(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each query ranked anew by the share of query words that heading and content hold."""
     found = bm25(documents_of(_chunks(spark, d), "row_id", ["content", "rel", "heading"]), _asked(spark, d, False), 30)
@@ -193,6 +252,11 @@ QUERIES = {
     "bm25_fallback": bm25_fallback,
     "rerank_overlap": rerank_overlap,
     "query_usage": query_usage,
+    "hybrid_query": hybrid_query,
+    "fallback_query": fallback_query,
+    "rerank_query": rerank_query,
+    "literal_chunks": literal_chunks,
+    "hit_documents": hit_documents,
 }
 
 # --- the same in SQL ---
@@ -313,3 +377,36 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY reran
 x AS (SELECT r.query_id, CAST(sum({_ESTIMATE.format("concat_ws(chr(10) || chr(10), nullif(ch.heading, ''), ch.content)")}) AS BIGINT) AS rerank_tokens, count(*) AS candidates FROM ranked r JOIN ch USING (row_id) GROUP BY 1)
 SELECT q.query_id, {_ESTIMATE.format("q.query")} AS embedding_tokens, coalesce(x.rerank_tokens, 0) AS rerank_tokens, coalesce(x.candidates, 0) AS candidates FROM asked q LEFT JOIN x ON x.query_id = q.query_id""",
 }
+
+
+_HANS = "regexp_matches(query, '\\p{Han}')"
+_BASE = f"""WITH {_CHUNKS}, {_VEC},
+base AS (SELECT x.vec_id AS row_id, ch.content, ch.rel, ch.heading FROM (SELECT DISTINCT vec_id, chunk_id FROM chunk_vectors) x JOIN ch ON x.chunk_id = ch.row_id),
+ask AS (SELECT row_id AS query_id, array_to_string(regexp_split_to_array(content, '\\s+')[1:8], ' ') AS query FROM base WHERE row_id % 100 = 0),
+lat AS (WITH docs AS (SELECT row_id, list_concat({_tok('content')}, [''], {_tok('rel')}, [''], {_tok('heading')}) AS toks FROM base), asked AS (SELECT * FROM ask WHERE NOT {_HANS}), {_bm25_sql(200)} SELECT query_id, row_id, score, rank FROM ranked),
+hans AS (WITH docs AS (SELECT row_id, list_concat({_tok('t')}, {_han_terms('t')}) AS toks FROM (SELECT row_id, concat_ws(' ', content, rel, heading) AS t FROM base)), asked AS (SELECT * FROM ask WHERE {_HANS}), {_bm25_sql(200, terms=_HAN_QUERY)} SELECT query_id, row_id, score, rank FROM ranked),
+pairs AS (SELECT query_id, unnest(list_distinct({_han_terms('query', True)})) AS term FROM ask),
+there AS (SELECT DISTINCT unnest({_han_terms('t', True)}) AS term FROM (SELECT concat_ws(' ', content, rel, heading) AS t FROM base)),
+shut AS (SELECT query_id FROM pairs LEFT JOIN there USING (term) GROUP BY query_id HAVING count(there.term) = 0),
+lex0 AS (SELECT * FROM lat UNION ALL SELECT * FROM hans),
+lex AS (SELECT l.query_id, l.row_id, l.rank, CASE WHEN len(list_filter(regexp_extract_all(lower(b.rel), '[\\p{{L}}\\p{{Nd}}]+'), lambda w: starts_with(w, list_filter(regexp_extract_all(lower(q.query), '[\\p{{L}}\\p{{Nd}}]+'), lambda v: length(v) > 1)[1]))) > 0 THEN l.score * 1.5 ELSE l.score END AS score
+  FROM lex0 l JOIN base b USING (row_id) JOIN ask q USING (query_id) WHERE l.query_id NOT IN (SELECT query_id FROM shut)),
+rows_ AS (SELECT * FROM unit WHERE row_id IN (SELECT row_id FROM base)),
+cosines AS (SELECT q.row_id AS query_id, r.row_id, round(list_dot_product(q.v, r.v), 6) AS cosine FROM rows_ q, rows_ r WHERE q.row_id % 100 = 0),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, row_id) AS rank FROM cosines) WHERE rank <= 100),
+a AS (SELECT *, CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END AS s FROM lex WINDOW w AS (PARTITION BY query_id)),
+b AS (SELECT *, CASE WHEN max(cosine) OVER w = min(cosine) OVER w THEN 1.0 ELSE (cosine - min(cosine) OVER w) / (max(cosine) OVER w - min(cosine) OVER w) END AS s FROM near WINDOW w AS (PARTITION BY query_id)),
+u AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.row_id, b.row_id) AS row_id, a.rank AS lr, b.rank AS vr, a.s AS sa, b.s AS sb FROM a FULL JOIN b ON a.query_id = b.query_id AND a.row_id = b.row_id),
+uw AS (SELECT *, max(CASE WHEN vr IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS anyv FROM u),
+f AS (SELECT *, round((CASE WHEN anyv = 1 THEN {ALPHA} ELSE 1.0 END) * coalesce(sa, 0) + (1 - (CASE WHEN anyv = 1 THEN {ALPHA} ELSE 1.0 END)) * coalesce(sb, 0), 6) AS hybrid FROM uw),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hybrid DESC, lr NULLS LAST, vr NULLS LAST) AS rank FROM f)"""
+_OUT = f"SELECT query_id, row_id, rank, CASE WHEN query_id IN (SELECT row_id FROM unit) THEN 'hybrid' ELSE 'bm25-fallback' END AS method, round(hybrid, 3) AS hybrid FROM o WHERE rank <= {K}"
+SQL |= {
+    "hybrid_query": f"{_BASE} {_OUT}",
+    "fallback_query": f"{_BASE} SELECT * FROM ({_OUT}) WHERE method = 'bm25-fallback'",
+    "literal_chunks": f"""WITH c AS (SELECT *, translate(chunk_content, ' ' || chr(10) || chr(9) || chr(13), '') AS t FROM {current_sql("chunks", "id", "file_path", "chunk_content", "chunk_index")}),
+q AS (SELECT DISTINCT x.vec_id AS query_id, substr(c.t, 1, 60) AS p FROM (SELECT DISTINCT vec_id, chunk_id FROM chunk_vectors WHERE vec_id % 100 = 0) x JOIN c ON c.id = x.chunk_id)
+SELECT query_id, id AS row_id, rank FROM (SELECT q.query_id, c.id, row_number() OVER (PARTITION BY q.query_id ORDER BY c.file_path, c.chunk_index, c.id) AS rank FROM q JOIN c ON p <> '' AND contains(c.t, p)) WHERE rank <= {K}""",
+    "hit_documents": f"""WITH {_CHUNKS}, {_LATIN}, {_DOCS}, {_bm25_sql(K)}, h AS (SELECT c.file_path AS path, count(*) AS hits FROM ranked r JOIN {current_sql("chunks", "id", "file_path")} c ON c.id = r.row_id GROUP BY 1)
+SELECT f.document_id, h.path, coalesce(f.title, '') AS title, substr(f.hash, 1, 12) AS version, h.hits FROM h JOIN {current_sql("files", "path", "document_id", "title", "hash")} f ON f.path = h.path""",
+}

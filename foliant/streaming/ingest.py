@@ -21,17 +21,15 @@ def index_stream(spark: SparkSession, source: str, schema: str, index: str, chec
 
     def apply(batch: DataFrame, epoch: int) -> None:
         name = f"g{epoch:09d}"
-        if generations.active() == name:
+        if generations.active(name) == name:
             return  # the batch was published before the driver was lost
         fresh = newest(batch.filter("path IS NOT NULL"), ["path"], "indexed").select(*batch.columns)
-        old = generations.read()
+        old = generations.read(name)
         if old is not None:
             known = old.select("path", F.col("indexed").alias("seen"))
             fresh = fresh.join(known, "path", "left").filter("seen IS NULL OR indexed >= seen").drop("seen").select(*batch.columns)
             fresh = replaced(old.select(*batch.columns), fresh, fresh.select("path").limit(0))
-        fresh.write.mode("overwrite").parquet(f"{index}/.staging-{name}")
-        generations._fs.delete(generations._path(f"{index}/{name}"), True)
-        generations.publish(spark.read.parquet(f"{index}/.staging-{name}"), name)
+        generations.publish(fresh, name)  # written once, and renamed
         generations.clean(keep)
 
     stream = spark.readStream.schema(schema).parquet(source)

@@ -1,4 +1,3 @@
-import datetime as dt
 import json
 
 import pytest
@@ -7,8 +6,7 @@ from pyspark.sql import functions as F
 from foliant.operators import catalog as C
 from foliant.operators import evaluation as E
 from foliant.operators import sync as S
-from foliant.sources.files import Generations, eval_cases, folder
-from foliant.streaming.ingest import index_stream
+from foliant.sources.files import eval_cases, folder
 
 
 def test_snapshot(spark):
@@ -75,15 +73,3 @@ def test_folder_source_and_cases(spark, tmp_path):
     (tmp_path / "bad.jsonl").write_text(json.dumps(good) + "\n" + json.dumps(good))
     with pytest.raises(ValueError):
         eval_cases(spark, str(tmp_path / "bad.jsonl"))
-
-
-def test_stream_publishes_generations(spark, tmp_path):
-    schema = "path string, document_id string, hash string, indexed timestamp"
-    at = lambda d: dt.datetime(2024, 1, d)
-    src, index = str(tmp_path / "in"), str(tmp_path / "index")
-    for n, rows in enumerate([[("a", "1", "h1", at(1)), ("b", "2", "h1", at(1))], [("a", "1", "h2", at(3)), ("a", "1", "h0", at(2)), ("b", "2", "late", at(0 + 1))]]):
-        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
-        index_stream(spark, src, schema, index, str(tmp_path / "check")).awaitTermination(120)
-    live = Generations(spark, index)
-    assert live.active() == "g000000001"
-    assert {(r["path"], r["hash"]) for r in live.read().collect()} == {("a", "h2"), ("b", "late")}
