@@ -1,6 +1,6 @@
 import pytest
 
-from foliant.llm.sentences import sentences
+from foliant.llm.sentences import sentence_ends, sentences
 
 CASES = [
     ("Dr. A. B. Smith saw Fig. 3. It rose to 3.5 mm. See config.json v1.2.3 now.", ["Dr. A. B. Smith saw Fig. 3.", "It rose to 3.5 mm.", "See config.json v1.2.3 now."]),
@@ -13,6 +13,10 @@ CASES = [
     ("「甲は弱い。乙は強い。」とXは書いた。丙。", ["「甲は弱い。乙は強い。」とXは書いた。", "丙。"]),
     ("รูปที่ 10 แสดง ผลลัพธ์ abc ทั้งหมด\nขอบเขต 5% ลดลง", ["รูปที่ 10 แสดง", "ผลลัพธ์ abc ทั้งหมด", "ขอบเขต 5% ลดลง"]),
     ("क्या यह है? \"अ है। ब नहीं,\" ऐसा लिखा। अंत", ["क्या यह है?", "\"अ है। ब नहीं,\" ऐसा लिखा।", "अंत"]),
+    ("هل هذا صحيح؟ نعم هو كذلك۔ انتهى", ["هل هذا صحيح؟", "نعم هو كذلك۔", "انتهى"]),
+    ("Սա մեկն է։ Սա երկուսն է։", ["Սա մեկն է։", "Սա երկուսն է։"]),
+    ("ይህ አንድ ነው። ይህ ሁለት ነው።", ["ይህ አንድ ነው።", "ይህ ሁለት ነው።"]),
+    ("अ है॥ ब है॥", ["अ है॥", "ब है॥"]),
     ("One line\n> goes on here. Two", ["One line\n  goes on here.", "Two"]),
 ]
 
@@ -20,7 +24,8 @@ CASES = [
 @pytest.mark.parametrize("text,want", CASES)
 def test_units(spark, text, want):
     got = sentences(spark.createDataFrame([(1, text)], "doc_id long, text string")).orderBy("sent_no").collect()
-    assert [r["sentence"] for r in got] == want
+    assert [r["sentence"] for r in got] == want and [r["sent_no"] for r in got] == list(range(1, len(want) + 1))
+    assert sorted(r["sent_end"] for r in sentence_ends(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()) == [r["sent_end"] for r in got]
     for r in got:
         assert len(text[r["sent_start"] : r["sent_end"]]) == len(r["sentence"])
 
