@@ -24,7 +24,7 @@ class Best:
             least = np.maximum(kth, self.least)
         else:
             least = self.least
-        row, query = np.nonzero((scores >= least) & (scores != NONE))
+        row, query = np.divmod(np.flatnonzero((scores >= least) & (scores != NONE)), scores.shape[1])  # flat places are found faster
         if len(row):
             self.parts.append((query, scores[row, query], ids[row]))
             self.held += len(row)
