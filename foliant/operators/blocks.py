@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliant.operators.headings import REFERENCES
+
 FLOATS = ("figure", "table")
 
 
@@ -57,10 +59,6 @@ def merged(blocks: DataFrame) -> DataFrame:
     )
 
 
-# Section titles whose subtrees hold references only.
-REFERENCES = ("references", "bibliography", "参考文献")
-
-
 def line_levels(lines: list[str]) -> list[tuple[int, str | None, bool]]:
     """(level, title, whether it is code) of each line: level 1 to 6 where a heading begins. A fence is closed by one of
     its own character and at least its length; underlined paragraphs of several lines are one heading."""

@@ -100,16 +100,24 @@ def units_of(text: str, most: int) -> list[tuple[int, int]]:
 
 
 def unit_rows(blocks: DataFrame, key: list[str], text: str = "text", most: int = Limits.unit) -> DataFrame:
-    """A row a unit: key, unit_no, start, end, unit, tokens."""
-    kind = "array<struct<start:int,end:int>>"
+    """A row a unit: key, unit_no, start, end, line (line ends before it), unit, tokens."""
+    kind = "array<struct<start:int,end:int,line:int>>"
+
+    def placed(text: str) -> list[dict]:
+        out, at, line = [], 0, 0
+        for a, b in units_of(text, most):
+            line += text.count("\n", at, a)
+            out.append({"start": a, "end": b, "line": line})
+            at = a
+        return out
 
     @F.pandas_udf(kind)
     def split(texts: pd.Series) -> pd.Series:
-        return pd.Series([[{"start": a, "end": b} for a, b in units_of(t, most)] if t else [] for t in texts])
+        return pd.Series([placed(t) if t else [] for t in texts])
 
     x = blocks.filter(F.col(text).rlike(r"\S")).select(*key, F.col(text).alias("__t"), F.posexplode(split(F.col(text))).alias("unit_no", "__u"))
     unit = F.substr(F.col("__t"), F.col("__u.start") + 1, F.col("__u.end") - F.col("__u.start"))
-    return x.select(*key, "unit_no", F.col("__u.start").alias("start"), F.col("__u.end").alias("end"), unit.alias("unit")).withColumn("tokens", token_estimate(F.col("unit")))
+    return x.select(*key, "unit_no", F.col("__u.start").alias("start"), F.col("__u.end").alias("end"), F.col("__u.line").alias("line"), unit.alias("unit")).withColumn("tokens", token_estimate(F.col("unit")))
 
 
 def fold_by_meaning(texts: list[str], similar: list[float], limits: Limits) -> list[int]:
@@ -147,11 +155,11 @@ def fold_by_meaning(texts: list[str], similar: list[float], limits: Limits) -> l
 
 
 def by_meaning(blocks: DataFrame, key: list[str], embed: Callable[[Column], Column], limits: Limits = Limits(), text: str = "text") -> DataFrame:
-    """Semantic chunks of each block: key, chunk_no, start, end, content, tokens. `embed` makes a vector column of unit texts."""
+    """Semantic chunks of each block: key, chunk_no, start, end, first_line, last_line (from 0 within the block), content, tokens. `embed` makes a vector column of unit texts."""
     units = unit_rows(blocks, key, text, limits.unit).withColumn("v", embed(F.trim("unit")))
     order = Window.partitionBy(*key).orderBy("unit_no")
     similar = units.withColumn("alike", F.coalesce(cosine(F.col("v"), F.lead("v").over(order)), F.lit(0.0))).drop("v")
-    rows = F.sort_array(F.collect_list(F.struct("unit_no", "start", "end", "unit", "alike")))  # the units of one block
+    rows = F.sort_array(F.collect_list(F.struct("unit_no", "start", "end", "line", "unit", "alike")))  # the units of one block
 
     @F.pandas_udf("array<struct<first:int,last:int>>")
     def fold(us: pd.Series) -> pd.Series:
@@ -165,7 +173,11 @@ def by_meaning(blocks: DataFrame, key: list[str], embed: Callable[[Column], Colu
     c = g.select(*key, "u", F.posexplode(fold("u")).alias("chunk_no", "c"))
     part = F.array_join(F.transform(F.slice("u", F.col("c.first") + 1, F.col("c.last") - F.col("c.first") + 1), lambda r: r["unit"]), "")
     content = F.regexp_replace(part, r"^\s+|\s+$", "")
-    return c.select(*key, "chunk_no", F.element_at("u", F.col("c.first") + 1)["start"].alias("start"), F.element_at("u", F.col("c.last") + 1)["end"].alias("end"), content.alias("content")).withColumn("tokens", token_estimate(F.col("content")))
+    ends = lambda text: F.regexp_count(text, F.lit("\n"))
+    first = F.element_at("u", F.col("c.first") + 1)
+    low = first["line"] + ends(F.regexp_extract(part, r"^\s+", 0))
+    out = c.select(*key, "chunk_no", first["start"].alias("start"), F.element_at("u", F.col("c.last") + 1)["end"].alias("end"), low.alias("first_line"), content.alias("content"))
+    return out.withColumn("last_line", F.col("first_line") + ends(F.col("content"))).withColumn("tokens", token_estimate(F.col("content")))
 
 
 def repacked(text: str, most: int) -> list[str]:
@@ -214,18 +226,54 @@ def fold_by_buffer(pieces: list[tuple[str, tuple, int | None]], limits: Limits)
     return out
 
 
-def by_buffer(blocks: DataFrame, limits: Limits = Limits()) -> DataFrame:
-    """Buffered chunks of each document (document_id, place, text, section, page_start): document_id, chunk_index, content, tokens, section."""
+def by_buffer(blocks: DataFrame, limits: Limits = Limits(), key: tuple[str, ...] = ("document_id",)) -> DataFrame:
+    """Buffered chunks of each document (key, place, text, section, page_start): key, chunk_index, content, tokens, section, place (of
+    the block that the first new piece is from). With the document alone as key also `id`."""
     rows = F.sort_array(F.collect_list(F.struct("place", "text", "section", "page_start")))  # the blocks of one document
 
-    @F.pandas_udf("array<struct<content:string,section:string>>")
+    @F.pandas_udf("array<struct<content:string,section:string,place:long>>")
     def fold(docs: pd.Series) -> pd.Series:
         out = []
         for d in docs:
-            pieces = [(p.strip(), r["section"], r["page_start"]) for r in d for p in re.split(r"\n{2,}", r["text"]) if p.strip()]
-            out.append([{"content": t, "section": pieces[i][1]} for t, i in fold_by_buffer(pieces, limits)])
+            pieces = [(p.strip(), r["section"], r["page_start"], r["place"]) for r in d for p in re.split(r"\n{2,}", r["text"]) if p.strip()]
+            out.append([{"content": t, "section": pieces[i][1], "place": pieces[i][3]} for t, i in fold_by_buffer([p[:3] for p in pieces], limits)])
         return pd.Series(out)
 
-    g = blocks.filter(F.col("text").rlike(r"\S")).groupBy("document_id").agg(rows.alias("b"))
-    c = g.select("document_id", F.posexplode(fold("b")).alias("chunk_index", "c"))
-    return c.select("document_id", "chunk_index", "c.content", "c.section").withColumn("tokens", token_estimate(F.col("content"))).withColumn("id", F.concat_ws("-", "document_id", "chunk_index"))
+    g = blocks.filter(F.col("text").rlike(r"\S")).groupBy(*key).agg(rows.alias("b"))
+    c = g.select(*key, F.posexplode(fold("b")).alias("chunk_index", "c"))
+    out = c.select(*key, "chunk_index", "c.content", "c.section", "c.place").withColumn("tokens", token_estimate(F.col("content")))
+    return out.withColumn("id", F.concat_ws("-", *key, "chunk_index")) if key == ("document_id",) else out
+
+
+# Texts of this format are code or notes unless their names say otherwise.
+TEXT, PROSE_NAMES = "text", r"(?i)(\.txt$|(^|/)rag-source\.json$)"
+
+
+def by_sense(path: Column, file_format: Column) -> Column:
+    """Whether a document is cut by meaning: all but plain texts that may be code."""
+    return (F.coalesce(file_format, F.lit(TEXT)) != TEXT) | F.coalesce(path.rlike(PROSE_NAMES), F.lit(False))
+
+
+def routed(merged: DataFrame, embed: Callable[[Column], Column], limits: Limits = Limits(), mode: str = "semantic") -> DataFrame:
+    """Merged blocks (document_id, path, file_format, group_no, text, section, page_start, page_end, line_start) as chunks:
+    document_id, chunk_index (from 0, without gaps), id, route, section, pages, lines, content, tokens.
+
+    By meaning a block at a time where `by_sense`; else by buffer, a block at a time for structured formats and over the
+    whole document for plain text. `mode="legacy"` sends all by buffer. Blocks without pages or lines have chunks without.
+    """
+    if mode not in ("semantic", "legacy"):
+        raise ValueError("mode is semantic or legacy")
+    sense = by_sense(F.col("path"), F.col("file_format")) if mode == "semantic" else F.lit(False)
+    whole = F.coalesce("file_format", F.lit(TEXT)) == TEXT
+    x = merged.withColumn("route", F.when(sense, "meaning").when(whole, "document").otherwise("block"))
+    place = ["document_id", "group_no"]
+    about = x.select(*place, "section", "page_start", "page_end", "line_start")
+    one = by_meaning(x.filter("route = 'meaning'"), place, embed, limits).select(*place, F.col("chunk_no").alias("no"), "content", "tokens", "first_line", "last_line", F.lit("meaning").alias("route"))
+    by_block = x.filter("route = 'block'").select(*place, F.col("group_no").alias("place"), "text", "section", "page_start")
+    two = by_buffer(by_block, limits, tuple(place)).select(*place, F.col("chunk_index").alias("no"), "content", "tokens", F.lit("block").alias("route"))
+    by_document = x.filter("route = 'document'").select("document_id", F.col("group_no").alias("place"), "text", "section", "page_start")
+    three = by_buffer(by_document, limits).select("document_id", F.col("place").alias("group_no"), F.col("chunk_index").alias("no"), "content", "tokens", F.lit("document").alias("route"))
+    cut = one.unionByName(two, True).unionByName(three, True).join(about, place)
+    number = F.row_number().over(Window.partitionBy("document_id").orderBy("group_no", "no")) - 1
+    out = cut.withColumn("chunk_index", number).withColumn("line_end", F.col("line_start") + F.col("last_line")).withColumn("line_start", F.col("line_start") + F.coalesce("first_line", F.lit(0)))
+    return out.select("document_id", "chunk_index", F.concat_ws("-", "document_id", "chunk_index").alias("id"), "route", "group_no", "section", "page_start", "page_end", "line_start", "line_end", "content", "tokens")

@@ -18,7 +18,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-BLOCKS = "struct<blocks:array<struct<text:string,section:string,page_start:int,page_end:int>>,error:string>"
+from foliant.operators.exports import export_blocks
+from foliant.operators.headings import Headings, squeezed
+
+BLOCKS = "struct<blocks:array<struct<text:string,section:string,page_start:int,page_end:int,kind:string,images:array<string>>>,error:string>"
 PAGED = "struct<version:int,blocks:array<struct<text:string,section:string,pageStart:int,pageEnd:int,kind:string>>>"
 LISTED = "array<struct<type:string,text:string,text_level:int,page_idx:int>>"
 
@@ -31,23 +34,6 @@ CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"td",
 SKIPPED = {"ref-list", "ack", "fn-group", "listBibl", "figure", "formula", "table", "note", "table-wrap", "fig", "disp-formula"}
 
 
-def _squeezed(text: str) -> str:
-    return re.sub(r"[\t\n\f\r ]+", " ", text).strip()
-
-
-class Headings:
-    """The open headings; opening one closes those of its level and below."""
-
-    def __init__(self) -> None:
-        self.open_: list[tuple[int, str]] = []
-
-    def open(self, level: int, title: str) -> None:
-        self.open_ = [h for h in self.open_ if h[0] < level] + [(level, title)]
-
-    def path(self) -> str | None:
-        return " / ".join(t for _, t in self.open_ if t) or None
-
-
 class _Page(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -59,7 +45,7 @@ class _Page(HTMLParser):
         return (2, self.met["main"]) if self.roots["main"] else (1, self.met["article"]) if self.roots["article"] else (0, 0)
 
     def flush(self) -> None:
-        kept = self.held.strip("\n") if "pre" in self.stack else _squeezed(self.held)
+        kept = self.held.strip("\n") if "pre" in self.stack else squeezed(self.held)
         if kept.strip() and not self.hidden:
             self.parts.append((self.rank(), self.headings.path(), kept))
         self.held = ""
@@ -94,7 +80,7 @@ class _Page(HTMLParser):
             if self.hidden:
                 self.hidden -= 1
             elif re.fullmatch(r"h[1-6]", top):
-                self.headings.open(self.level, _squeezed(self.title))
+                self.headings.open(self.level, squeezed(self.title))
                 self.level = 0
             elif top in BREAKS:
                 self.flush()
@@ -149,7 +135,7 @@ def _text(node: ElementTree.Element) -> str:
                 yield from shown(kid)
             yield kid.tail or ""
 
-    return _squeezed("".join(shown(node)))
+    return squeezed("".join(shown(node)))
 
 
 def coordinate_pages(coords: str | None) -> tuple[int | None, int | None]:
@@ -266,7 +252,7 @@ def docx_blocks(source: bytes) -> list[tuple[str, str | None]]:
         for run in p.iter():
             if _local(run) == "r" and id(run) not in gone and not any(_local(v) == "vanish" and next(iter(v.attrib.values()), "true") not in ("false", "0", "off") for v in run.iter()):
                 text += [t.text or "" for t in run.iter() if _local(t) == "t" and id(t) not in gone]
-        words = _squeezed("".join(text))
+        words = squeezed("".join(text))
         if words and level:
             open_.open(level, words)
         if words:
@@ -280,29 +266,44 @@ READERS = {
     "jats": jats_blocks,
     "docx": docx_blocks,
     "text": plain_blocks,
+    "mineru": export_blocks,
 }
+NAMES = ("text", "section", "page_start", "page_end", "kind", "images")
+
+
+def _read(source: str | bytes | None, name: str) -> dict:
+    """The blocks of one document, or the error; stored bytes are UTF-8, but for a format that is binary."""
+    try:
+        if isinstance(source, bytes) and name != "docx":
+            source = source.decode("utf-8-sig")
+        got = READERS[name](source) if source else []
+        return {"blocks": [dict(zip(NAMES, (*b, *(None, None, "", [])[len(b) - 2 :]))) for b in got], "error": None}
+    except Exception as e:  # noqa: BLE001 - a bad document is a row, not a failed job
+        return {"blocks": [], "error": f"{type(e).__name__}: {e}"[:200]}
 
 
 def reader(name: str):
     """A column function: the blocks of each document, or the error."""
-    read = READERS[name]
 
     @F.pandas_udf(BLOCKS)
     def run(sources: pd.Series) -> pd.DataFrame:
-        rows = []
-        for s in sources:
-            try:
-                got = [(*b, None, None)[:4] for b in (read(s) if s else [])]
-                rows.append({"blocks": [{"text": t, "section": c, "page_start": a, "page_end": z} for t, c, a, z in got], "error": None})
-            except Exception as e:  # noqa: BLE001 - a bad document is a row, not a failed job
-                rows.append({"blocks": [], "error": f"{type(e).__name__}: {e}"[:200]})
-        return pd.DataFrame(rows, columns=["blocks", "error"])
+        return pd.DataFrame([_read(s, name) for s in sources], columns=["blocks", "error"])
 
     return run
 
 
+def read_any(source: str, name: str) -> Column:
+    """The same over two columns, stored bytes and their formats, in one pass; a format without a reader is an error."""
+
+    @F.pandas_udf(BLOCKS)
+    def run(sources: pd.Series, names: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_read(s, n) for s, n in zip(sources, names)], columns=["blocks", "error"])
+
+    return run(source, name)
+
+
 def parsed(df: DataFrame, key: str, source: str, name: str) -> DataFrame:
-    """(key, block_ord, text, section, page_start, page_end) of one format."""
+    """(key, block_ord, text, section, page_start, page_end, kind, images) of one format."""
     return df.withColumn("__b", reader(name)(F.col(source))).select(key, F.posexplode("__b.blocks").alias("block_ord", "b")).select(key, "block_ord", "b.*")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES: tuple[str, ...] = ("retrieval", "reading", "library", "chunks", "formats", "pages")
+MODULES: tuple[str, ...] = ("retrieval", "reading", "library", "chunks", "formats", "pages", "exports")
 
 
 def queries() -> dict:
