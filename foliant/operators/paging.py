@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.alignment import WINDOW, aligned, skeleton
+from foliant.sources.tables import staged
 
 SHARE = 0.7
 
@@ -21,7 +22,7 @@ def _located(passages: DataFrame, paged: DataFrame) -> DataFrame:
     """(row_id, doc, long, page_start, page_end) of every passage (row_id, doc, text)."""
     found = aligned(passages.select("row_id", "doc", "text"), paged).drop("hits")
     long = F.coalesce(F.length(skeleton(F.col("text"))) >= WINDOW, F.lit(False))
-    return passages.select("row_id", "doc", long.alias("long")).join(found, "row_id", "left")
+    return staged(passages.select("row_id", "doc", long.alias("long")).join(found, "row_id", "left"), "located")  # it feeds the check and the result
 
 
 def doubtful(located: DataFrame) -> DataFrame:
