@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliant.functions.search import han_bigrams, han_index_terms, han_query_terms, tokens
 from foliant.functions.text import heading
+from foliant.operators.evaluation import scored
 from foliant.operators.fusion import boosted, first_word, fused
 from foliant.operators.lexical import bm25, documents_of
 from foliant.operators.literal import containing
@@ -106,6 +107,34 @@ def retrieve(index: DataFrame, queries: DataFrame, options: Options, dim: int, r
     return out.drop("rank").join(best, ["query_id", "row_id"]).select("query_id", "row_id", "rank", "bm25", "cosine", "hybrid", "rerank", method.alias("method"))
 
 
+MODES = ("bm25", "literal", "vector", "hybrid", "rerank")
+
+
+def by_mode(index: DataFrame, queries: DataFrame, labels: DataFrame, dim: int, k: int = 5, reranker: Callable[[str, list[str]], list[float]] | None = None, modes: tuple[str, ...] = MODES) -> DataFrame:
+    """(mode, cases, recall, mrr, candidate_recall): each mode's mean over the labels (query_id, row_id) of all cases.
+
+    Cases that a mode can't answer (no usable vector in vector mode) count 0. The candidates' recall, at depth 30 or k if
+    that is more, is given for reranking, whose upper bound it is, and null elsewhere. `queries` and `index` are tables,
+    written ones by preference, for every mode reads them.
+    """
+    depth = max(30, k)
+    labels, can = staged(labels.select("query_id", "row_id").distinct(), "labels"), usable(F.col("v"), dim)
+    parts = []
+    for mode in modes:
+        options = Options("hybrid", k, depth, rerank=True) if mode == "rerank" else Options(mode, k, depth)
+        asked = queries.filter(F.coalesce(can, F.lit(False))) if mode == "vector" else queries
+        got = scored(labels, retrieve(index, asked, options, dim, reranker), k)
+        none = F.lit(None).cast("double")
+        parts.append(got.agg(F.lit(mode).alias("mode"), F.count("*").alias("cases"), F.round(F.avg("recall"), 6).alias("recall"), F.round(F.avg("rr"), 6).alias("mrr"), none.alias("candidate_recall")))
+        if mode == "rerank":
+            whole = scored(labels, retrieve(index, queries, Options("hybrid", depth, depth), dim), depth)
+            parts.append(whole.agg(F.lit(mode).alias("mode"), F.count("*").alias("cases"), none.alias("recall"), none.alias("mrr"), F.round(F.avg("recall"), 6).alias("candidate_recall")))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out.groupBy("mode").agg(*[F.max(c).alias(c) for c in ("cases", "recall", "mrr", "candidate_recall")])  # at most two rows a mode
+
+
 def described(hits: DataFrame, files: DataFrame) -> DataFrame:
     """hits (row_id, …, path), files (path, document_id, title, hash): each document of the hits once, with its version and number of hits."""
     n = hits.groupBy("path").agg(F.count("*").alias("hits"))

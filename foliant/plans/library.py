@@ -9,6 +9,7 @@ from foliant.functions.text import normal_doi, year_of
 from foliant.operators import catalog as C
 from foliant.operators import evaluation as E
 from foliant.operators import sync as S
+from foliant.operators.inputs import folder_of, input_files, json_hash, stale
 from foliant.operators.literal import containing
 from foliant.operators.lexical import bm25, documents_of
 from foliant.plans.reading import _est
@@ -121,6 +122,39 @@ def attachment_match(spark: SparkSession, d: str) -> DataFrame:
     return _links(spark, d)
 
 
+def links_export(spark: SparkSession, d: str) -> DataFrame:
+    """Links as they are handed out: document and path, the item's full reference, and how it was found."""
+    f = current(spark, d, "files", "path", "document_id").withColumnRenamed("document_id", "document")
+    i = _items(spark, d).select("item_key", "library_type", "library_id")
+    x = _links(spark, d).join(f, "document").join(i, "item_key")
+    return x.select("document", "path", "library_type", "library_id", "item_key", F.col("how").alias("match_method"))
+
+
+def item_hashes(spark: SparkSession, d: str) -> DataFrame:
+    """Content hashes of items' JSON, without their versions; keys stand in the table's order, which doesn't count."""
+    i = current(spark, d, "zotero_items", "item_key", "item_version", "title", "doi", "item_type")
+    text = F.to_json(F.struct(F.coalesce("title", F.lit("")).alias("title"), F.col("item_version").alias("version"), F.col("item_type").alias("type"), F.coalesce("doi", F.lit("")).alias("doi")))
+    return i.select("item_key", json_hash(text, ("version",)).alias("hash"))
+
+
+def input_sets(spark: SparkSession, d: str) -> DataFrame:
+    """The files that each document is made of; a manifest a folder and a layout beside each export are rendered from the paths."""
+    f = current(spark, d, "files", "path", "hash", "size").withColumn("folder", folder_of(F.col("path")))
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    one = f.groupBy("folder").agg(F.min(name).alias("name"), F.max(name == "content_list.json").alias("export"))
+    path = lambda n: F.concat("folder", F.lit("/" + n)).alias("path")
+    manifest = F.to_json(F.struct(F.lit(1).alias("version"), F.concat(F.lit("./x/../"), F.col("name")).alias("contentPath"))).alias("content")
+    text = f.select("path", "size", F.coalesce("hash", F.lit("")).alias("content"))
+    listing = text.unionByName(one.select(path("rag-source.json"), F.lit(100).alias("size"), manifest)).unionByName(one.filter("export").select(path("layout.json"), F.lit(100).alias("size"), F.lit("{}").alias("content")))
+    return input_files(listing.withColumn("content", F.to_binary("content", F.lit("utf-8"))))
+
+
+def stale_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as an earlier state of the library knew them, where they have changed since."""
+    version = F.substring(F.coalesce("hash", F.lit("")), 1, 12).alias("version")
+    return stale(_oldest(spark, d).select("document_id", version), current(spark, d, "files", "path", "document_id", "hash").select("document_id", version))
+
+
 def title_candidates(spark: SparkSession, d: str) -> DataFrame:
     f = current(spark, d, "files", "path", "document_id", "title").select(F.col("document_id").alias("document"), "title")
     return C.title_candidates(f, _items(spark, d).filter("item_type <> 'attachment'").select("item_key", "title"))
@@ -212,6 +246,10 @@ QUERIES = {
     "snapshot_apply": snapshot_apply,
     "attachment_match": attachment_match,
     "title_candidates": title_candidates,
+    "links_export": links_export,
+    "item_hashes": item_hashes,
+    "input_sets": input_sets,
+    "stale_versions": stale_versions,
     "metadata_filter": metadata_filter,
     "library_alias": library_alias,
     "catalog_status": catalog_status,
@@ -315,3 +353,16 @@ best AS (SELECT path, folder, priority FROM (SELECT *, row_number() OVER (PARTIT
 chosen AS (SELECT * FROM best UNION ALL SELECT path, folder, priority FROM x WHERE priority = 0 AND folder NOT IN (SELECT folder FROM best))
 SELECT path, folder, priority FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE starts_with(c.folder, b.folder || '/'))""",
 }
+SQL |= {
+    "links_export": f"""WITH {_LINKS} SELECT l.document, f.path, i.library_type, i.library_id, l.item_key, l.how AS match_method
+FROM links l JOIN {current_sql("files", "path", "document_id")} f ON f.document_id = l.document JOIN it i ON i.item_key = l.item_key""",
+    "item_hashes": f"""SELECT item_key, sha256(CAST(to_json({{'doi': coalesce(doi, ''), 'title': coalesce(title, ''), 'type': item_type}}) AS VARCHAR)) AS hash FROM {current_sql("zotero_items", "item_key", "item_version", "title", "doi", "item_type")}""",
+    "input_sets": f"""WITH f AS (SELECT path, {_FOLDER} AS folder, regexp_extract(path, '([^/]*)$', 1) AS name FROM {current_sql("files", "path")}),
+one AS (SELECT folder, min(name) AS name, max(CASE WHEN name = 'content_list.json' THEN 1 ELSE 0 END) AS export FROM f GROUP BY folder),
+own AS (SELECT path FROM f UNION ALL SELECT folder || '/rag-source.json' FROM one UNION ALL SELECT folder || '/layout.json' FROM one WHERE export = 1),
+beside AS (SELECT {_FOLDER} AS folder, min(CASE WHEN regexp_matches(path, '/layout\\.json$') THEN '0' ELSE '1' END || path) AS best FROM own WHERE regexp_matches(path, '/layout\\.json$|(/|_)middle\\.json$') GROUP BY 1)
+SELECT path, 0 AS place, path AS input FROM own UNION ALL SELECT folder || '/rag-source.json', 1, folder || '/' || name FROM one
+UNION ALL SELECT path, 1, substr(best, 2) FROM own JOIN beside ON {_FOLDER.replace("path", "own.path")} = beside.folder WHERE regexp_matches(lower(path), '(\\.mineru\\.json|_content_list\\.json|_content_list_v2\\.json|_middle\\.json|/content_list\\.json|/content_list_v2\\.json|/middle\\.json|/middle_json\\.json|/structured_content\\.json)$')""",
+    "stale_versions": f"""WITH {_OLD} SELECT o.document_id, substr(coalesce(o.hash, ''), 1, 12) AS version, substr(coalesce(n.hash, ''), 1, 12) AS now FROM old o LEFT JOIN {current_sql("files", "path", "document_id", "hash")} n ON n.document_id = o.document_id
+WHERE n.document_id IS NULL OR substr(coalesce(n.hash, ''), 1, 12) <> substr(coalesce(o.hash, ''), 1, 12)""",
+}

@@ -12,7 +12,7 @@ from foliant.functions.text import heading, token_estimate
 from foliant.operators.fusion import boosted, first_word, fused
 from foliant.operators.lexical import bm25, documents_of, top
 from foliant.operators.literal import containing
-from foliant.operators.retrieve import Options, described, retrieve
+from foliant.operators.retrieve import Options, by_mode, described, retrieve
 from foliant.operators.vectors import knn, usable
 from foliant.plans.views import current, current_sql
 from foliant.sources.tables import staged, table
@@ -198,6 +198,13 @@ def rerank_query(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query_id", "row_id", "rank", "method", F.round("rerank", 4).alias("rerank"))
 
 
+def eval_retrieval(spark: SparkSession, d: str) -> DataFrame:
+    """Every mode on known items: a case of the query set is answered by the chunk that its words and vector are of."""
+    index = _library(spark, d)
+    asked = staged(_asked_of(index), "cases")
+    return by_mode(index, asked, asked.select("query_id", F.col("query_id").alias("row_id")), DIM, K, shared_words)
+
+
 def literal_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Chunks that hold the first 60 characters, white space left out, of the query set's chunks, by path and place, the first ten of each."""
     from pyspark.sql import Window
@@ -256,6 +263,7 @@ QUERIES = {
     "fallback_query": fallback_query,
     "rerank_query": rerank_query,
     "literal_chunks": literal_chunks,
+    "eval_retrieval": eval_retrieval,
     "hit_documents": hit_documents,
 }
 
