@@ -228,20 +228,27 @@ def fold_by_buffer(pieces: list[tuple[str, tuple, int | None]], limits: Limits)
 
 def by_buffer(blocks: DataFrame, limits: Limits = Limits(), key: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """Buffered chunks of each document (key, place, text, section, page_start): key, chunk_index, content, tokens, section, place (of
-    the block that the first new piece is from). With the document alone as key also `id`."""
-    rows = F.sort_array(F.collect_list(F.struct("place", "text", "section", "page_start")))  # the blocks of one document
-
-    @F.pandas_udf("array<struct<content:string,section:string,place:long>>")
-    def fold(docs: pd.Series) -> pd.Series:
+    the block that the first new piece is from). With the document alone as key also `id`. A buffer is emptied where the section
+    or page turns, so each such run is folded by itself, and no row holds more than one run of a document."""
+    order = Window.partitionBy(*key).orderBy("place")
+    seen = F.last("page_start", True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    turns = ~F.lag("section").over(order).eqNullSafe(F.col("section")) | F.coalesce(F.col("page_start") > seen, F.lit(False))
+    x = blocks.filter(F.col("text").rlike(r"[^\s\p{Z}]")).select(*key, "place", "text", "section", turns.cast("int").alias("turns"))
+    x = x.withColumn("run", F.sum("turns").over(order))
+    rows = F.sort_array(F.collect_list(F.struct("place", "text")))  # the blocks of one run
+
+    @F.pandas_udf("array<struct<content:string,place:long>>")
+    def fold(runs: pd.Series) -> pd.Series:
         out = []
-        for d in docs:
-            pieces = [(p.strip(), r["section"], r["page_start"], r["place"]) for r in d for p in re.split(r"\n{2,}", r["text"]) if p.strip()]
-            out.append([{"content": t, "section": pieces[i][1], "place": pieces[i][3]} for t, i in fold_by_buffer([p[:3] for p in pieces], limits)])
+        for d in runs:
+            pieces = [(p.strip(), r["place"]) for r in d for p in re.split(r"\n{2,}", r["text"]) if p.strip()]
+            out.append([{"content": t, "place": pieces[i][1]} for t, i in fold_by_buffer([(p, None, None) for p, _ in pieces], limits)])
         return pd.Series(out)
 
-    g = blocks.filter(F.col("text").rlike(r"\S")).groupBy(*key).agg(rows.alias("b"))
-    c = g.select(*key, F.posexplode(fold("b")).alias("chunk_index", "c"))
-    out = c.select(*key, "chunk_index", "c.content", "c.section", "c.place").withColumn("tokens", token_estimate(F.col("content")))
+    g = x.groupBy(*key, "run", "section").agg(rows.alias("b"))
+    c = g.select(*key, "run", "section", F.posexplode(fold("b")).alias("no", "c"))
+    number = F.row_number().over(Window.partitionBy(*key).orderBy("run", "no")) - 1
+    out = c.select(*key, number.alias("chunk_index"), "c.content", "section", "c.place").withColumn("tokens", token_estimate(F.col("content")))
     return out.withColumn("id", F.concat_ws("-", *key, "chunk_index")) if key == ("document_id",) else out
 
 

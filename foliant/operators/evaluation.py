@@ -59,3 +59,8 @@ def changes(before: DataFrame, after: DataFrame, keys: list[str], values: list[s
     flat = lambda df, name: df.select(*keys, F.explode(F.array(*[F.struct(F.lit(v).alias("value"), F.col(v).cast("double").alias(name)) for v in values])).alias("x")).select(*keys, "x.value", f"x.{name}")
     both = flat(before, "before").join(flat(after, "after"), [*keys, "value"], "full_outer")
     return both.filter(~F.col("before").eqNullSafe(F.col("after")) & ~F.coalesce(F.abs(F.col("before") - F.col("after")) <= 1e-9, F.lit(False)))
+
+
+def written(report: DataFrame, path: str) -> None:
+    """A report, of a row a mode or a case of a fixed set, as one JSON file in a folder that mustn't exist; Spark commits it whole or not at all."""
+    report.coalesce(1).write.mode("errorifexists").option("ignoreNullFields", False).json(path)

@@ -1,6 +1,7 @@
 """Navigation of one document's passages: order, outline, ranges, token budget.
 
-Inputs are passages (doc, idx, section, page_start, page_end, tokens). Windows run within one document.
+Inputs are passages (doc, idx, section, page_start, page_end, tokens). No window sorts a whole document: runs are counted in
+parts of PART places, and the parts, a row each, are put in order by document.
 """
 
 from __future__ import annotations
@@ -9,27 +10,38 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+PART = 4096
+
+
 def _order() -> object:
     return Window.partitionBy("doc").orderBy("idx")
 
 
 def outline(passages: DataFrame) -> DataFrame:
-    """Runs of equal sections: (doc, run, section, nth occurrence of that name, first, last, passages, page_start, page_end)."""
-    x = passages.withColumn("section", F.coalesce("section", F.lit("")))
-    new = F.lag("section").over(_order())
-    x = x.withColumn("run", F.sum((new.isNull() | (new != F.col("section"))).cast("int")).over(_order()))
+    """Runs of equal sections: (doc, run, section, nth occurrence of that name, first, last, passages, page_start, page_end).
+    Null sections are empty ones; passages without a document or place are left out."""
+    local = Window.partitionBy("doc", "part").orderBy("idx")
+    x = passages.withColumn("section", F.coalesce("section", F.lit(""))).withColumn("part", F.floor(F.col("idx") / PART))
+    new = F.lag("section").over(local)
+    x = x.withColumn("run", F.sum((new.isNull() | (new != F.col("section"))).cast("int")).over(local))
+    parts = x.groupBy("doc", "part").agg(F.min_by("section", "idx").alias("head"), F.max_by("section", "idx").alias("tail"), F.max("run").alias("runs"))
+    order = Window.partitionBy("doc").orderBy("part")
+    goes_on = F.coalesce(F.lag("tail").over(order) == F.col("head"), F.lit(False)).cast("int")
+    parts = parts.withColumn("goes_on", goes_on).withColumn("upto", F.sum(F.col("runs") - F.col("goes_on")).over(order))
+    before = F.col("upto") - F.col("runs")  # the runs before the part, without the one that goes on in it
+    x = x.join(parts.select("doc", "part", before.alias("before")), ["doc", "part"]).withColumn("run", F.col("run") + F.col("before"))
     runs = x.groupBy("doc", "run", "section").agg(F.min("idx").alias("first"), F.max("idx").alias("last"), F.count("*").alias("passages"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"))
     return runs.withColumn("nth", F.row_number().over(Window.partitionBy("doc", "section").orderBy("run")))
 
 
 def without_common_head(outlines: DataFrame) -> DataFrame:
     """Drops the first part of all section paths of a document if all non-empty ones share it and one is nested."""
-    w = Window.partitionBy("doc")
+    nested = F.contains(F.col("section"), F.lit(" / "))
     head = F.when(F.col("section") != "", F.split_part("section", F.lit(" / "), F.lit(1)))
-    nested = F.max(F.contains(F.col("section"), F.lit(" / "))).over(w)
-    common = (F.min(head).over(w) == F.max(head).over(w)) & nested
-    cut = F.when(F.contains(F.col("section"), F.lit(" / ")), F.expr("substring(section, instr(section, ' / ') + 3)")).otherwise(F.col("section"))
-    return outlines.withColumn("short", F.when(F.coalesce(common, F.lit(False)), cut).otherwise(F.col("section")))
+    heads = outlines.groupBy("doc").agg(((F.min(head) == F.max(head)) & F.max(nested)).alias("common"))
+    cut = F.when(nested, F.expr("substring(section, instr(section, ' / ') + 3)")).otherwise(F.col("section"))
+    x = outlines.join(heads, "doc")
+    return x.withColumn("short", F.when(F.coalesce("common", F.lit(False)), cut).otherwise(F.col("section"))).drop("common")
 
 
 def around(passages: DataFrame, centers: DataFrame, reach: int = 2) -> DataFrame:

@@ -80,3 +80,13 @@ def test_every_mode(spark):
     got = {r["mode"]: r for r in by_mode(index, queries, labels, 4, 1, exact).collect()}
     assert {m: (r["cases"], round(r["recall"], 3)) for m, r in got.items() if m != "hybrid"} == {"bm25": (3, 1.0), "literal": (3, 1.0), "vector": (3, 0.333), "rerank": (3, 1.0)}
     assert got["rerank"]["candidate_recall"] == 1.0 and got["bm25"]["candidate_recall"] is None
+
+
+def test_report(spark, tmp_path):
+    from foliant.operators.evaluation import written
+
+    report = spark.createDataFrame([("bm25", 0.5, None)], "mode string, recall double, candidate_recall double")
+    written(report, str(tmp_path / "report"))
+    assert [r.asDict() for r in spark.read.json(str(tmp_path / "report")).collect()] == [{"candidate_recall": None, "mode": "bm25", "recall": 0.5}]
+    with pytest.raises(Exception, match="exist"):
+        written(report, str(tmp_path / "report"))
