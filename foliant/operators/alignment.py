@@ -10,30 +10,33 @@ Defined results: null and short texts, and passages without enough hits, have no
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW, STEP, LEAST = 24, 8, 2
+PIECE = 128  # characters of a text whose windows are cut at once; a multiple of STEP, and no less than WINDOW
 
 
 def skeleton(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), r"[^\p{L}\p{Nd}]", "")
 
 
-def _windows(sk: Column, step: int) -> Column:
-    @F.pandas_udf("array<string>")
-    def cut(texts: pd.Series) -> pd.Series:
-        return pd.Series([list(dict.fromkeys(t[i : i + WINDOW] for i in range(0, len(t) - WINDOW + 1, step))) if t else [] for t in texts])
-
-    return cut(sk)
+def _windows(df: DataFrame, step: int) -> DataFrame:
+    """A row for every `step`-th window `w` of each row's `text`, beside the other columns. Texts are cut into pieces of PIECE
+    characters first, so work is in proportion to length, and only the windows of one piece are in memory at once."""
+    rest = [c for c in df.columns if c != "text"]
+    pieces = F.regexp_extract_all(skeleton(F.col("text")), F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    cut = df.select(*rest, pieces.alias("__p")).select(*rest, F.explode(F.arrays_zip(F.col("__p").alias("own"), F.slice("__p", 2, F.greatest(F.size("__p"), F.lit(1))).alias("after"))).alias("__x"))
+    run = cut.select(*rest, F.concat("__x.own", F.coalesce(F.substring("__x.after", 1, WINDOW - 1), F.lit(""))).alias("__s"))
+    run = run.filter(F.length("__s") >= WINDOW)
+    return run.select(*rest, F.explode(F.transform(F.sequence(F.lit(1), F.length("__s") - (WINDOW - 1), F.lit(step)), lambda i: F.substr("__s", i, F.lit(WINDOW)))).alias("w"))
 
 
 def aligned(passages: DataFrame, paged: DataFrame) -> DataFrame:
     """passages (row_id, doc, text), paged (doc, page, text) -> (row_id, page_start, page_end, hits)."""
-    known = paged.filter("page IS NOT NULL").select("doc", "page", F.explode(_windows(skeleton(F.col("text")), 1)).alias("w"))
+    known = _windows(paged.filter("page IS NOT NULL").select("doc", "page", "text"), 1)
     named = known.groupBy("doc", "w").agg(F.min("page").alias("page"), F.max("page").alias("other")).filter("page = other").drop("other")
-    asked = passages.select("row_id", "doc", F.explode(_windows(skeleton(F.col("text")), STEP)).alias("w")).distinct()
+    asked = _windows(passages.select("row_id", "doc", "text"), STEP).distinct()
     votes = asked.join(named, ["doc", "w"]).groupBy("row_id", "page").agg(F.count("*").alias("hits")).filter(F.col("hits") >= LEAST)
     return votes.groupBy("row_id").agg(F.min("page").alias("page_start"), F.max("page").alias("page_end"), F.sum("hits").alias("hits"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliant.operators.alignment import WINDOW, aligned, skeleton
-from foliant.sources.tables import staged
+from foliant.sources.tables import small, staged
 
 SHARE = 0.7
 
@@ -68,7 +68,10 @@ def repaged(blocks: DataFrame, paged: DataFrame) -> DataFrame:
 
 def figure_places(blocks: DataFrame, chunks: DataFrame) -> DataFrame:
     """Blocks (row_id, doc, place, text, images), chunks (doc, chunk_index, text) -> (doc, chunk_index, place, image): the chunk
-    that holds a figure's text, else that of the last located block before it."""
+    that holds a figure's text, else that of the last located block before it. Only documents with figures are aligned."""
+    docs = staged(blocks.filter(F.size("images") > 0).select("doc").distinct(), "figure-documents")
+    docs = F.broadcast(docs) if small(docs) else docs
+    blocks, chunks = (x.join(docs, "doc", "left_semi") for x in (blocks, chunks))
     located = _located(blocks, chunks.select("doc", F.col("chunk_index").alias("page"), "text"))
     x = blocks.select("row_id", "place", "images").join(located, "row_id").join(doubtful(located).select("doc"), "doc", "left_anti")
     last = F.last("page_end", True).over(Window.partitionBy("doc").orderBy("place"))

@@ -1,6 +1,8 @@
+import random
+
 import pytest
 
-from foliant.operators.alignment import accepted, aligned, corrected
+from foliant.operators.alignment import PIECE, STEP, WINDOW, _windows, accepted, aligned, corrected
 from pyspark.sql import functions as F
 
 
@@ -12,6 +14,16 @@ def test_passages_get_the_pages_of_their_windows(spark):
     assert got == {"a": (1, 1), "b": (2, 3)}
 
 
+def test_windows_are_cut_piece_by_piece(spark):
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdé字𝒳1") for _ in range(n)) for n in (0, 1, WINDOW - 1, WINDOW, PIECE - 1, PIECE, PIECE + 1, PIECE + WINDOW - 1, 2 * PIECE + 5, 3001)] + [None]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    for step in (1, STEP):
+        cut = _windows(df, step)
+        assert sorted((r["n"], r["w"]) for r in cut.collect()) == sorted((n, t[i : i + WINDOW]) for n, t in enumerate(texts) if t for i in range(0, len(t) - WINDOW + 1, step))
+        assert "ArrowEvalPython" not in cut._jdf.queryExecution().toString()  # no Python worker holds the windows of a batch of texts
+
+
 def test_corrections(spark):
     df = spark.createDataFrame([("on tbe way",), ("tbe end of tbe",), ("x",)], "t string")
     assert [r[0] for r in df.select(corrected(F.col("t"), [("tbe", "the"), ("the way", "it"), ("x", " ")])).collect()] == ["on it", "the end of the", None]
